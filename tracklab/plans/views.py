@@ -165,6 +165,7 @@ def points(spark, sf) -> DataFrame:
         "o",
         F.when(F.col("i") % 13 == 0, 5 + near / 2).otherwise(near).alias("X"),
         (lateral * F.when(left, 1).otherwise(-1)).alias("Y"),
+        (F.col("x") * 0.17).alias("Z"),
     )
 
 
@@ -283,12 +284,13 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_points": (
         (),
         """SELECT i % 3 AS rec, arm, seed, i, CASE WHEN lf THEN 'L' ELSE 'R' END AS side, kind, o,
-             CASE WHEN i % 13 = 0 THEN 5 + nr / 2 ELSE nr END AS X, lat * (CASE WHEN lf THEN 1 ELSE -1 END) AS Y
+             CASE WHEN i % 13 = 0 THEN 5 + nr / 2 ELSE nr END AS X, lat * (CASE WHEN lf THEN 1 ELSE -1 END) AS Y,
+             tx * 0.17e0 AS Z
            FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'B' ELSE 'C' END AS arm,
                CAST(42 + l_linenumber % 3 AS BIGINT) AS seed, l_partkey // 6 AS i, l_orderkey % 2 AS kind,
                row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o,
                (l_suppkey % 2 = 0 OR (l_partkey // 6) % 11 = 0) AS lf,
-               l_quantity / 5 + (l_suppkey % 10) * 0.013e0 AS nr,
+               l_quantity / 5 + (l_suppkey % 10) * 0.013e0 AS nr, CAST(round(l_tax * 100) AS BIGINT) AS tx,
                1.2e0 + (CAST(round(l_discount * 100) AS BIGINT) - 5) * 0.08e0
                  + (CASE WHEN CAST(round(l_tax * 100) AS BIGINT) > 7 THEN 1.5e0 ELSE 0e0 END)
                  + (l_suppkey % 97 - 48) * 0.00137e0 AS lat
