@@ -201,3 +201,11 @@ def islands(
     start = F.when(F.col("_p") & ~F.col("_prev"), F.col(idx))
     got = fills(flag, keys, [idx], before={"_start": start}, idx=idx, size=size)
     return got.withColumn(out, F.when(F.col("_p"), F.col("_start"))).drop("_p", "_prev", "_start")
+
+
+def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable, schema) -> DataFrame:
+    """Feed whole keys, sorted, to ``fn(batches)``; a key's rows may span several Arrow batches.
+
+    The sort is Spark's (it spills), so ``fn`` holds one running state rather than a group.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)

@@ -312,7 +312,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_lines": (
         (),
         """SELECT CAST(n_nationkey AS BIGINT) AS line_id, 2.45e0 * n_nationkey AS ax, 0.0e0 AS ay,
-             2.45e0 * n_nationkey + (n_nationkey % 3 - 1) / 2.0e0 AS bx, 50.0e0 AS by FROM nation""",
+             2.45e0 * n_nationkey + (n_nationkey % 3 - 1) / 2.0e0 AS bx, 50.0e0 AS yb FROM nation""",
     ),
     "v_track": (
         (),
