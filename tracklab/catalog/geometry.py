@@ -25,6 +25,10 @@ def d6(*cols):
     return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
 
 
+def d9(*cols):
+    return ", ".join(f'round("{c}", 9) AS "{c}"' for c in cols)
+
+
 def lit(x: float) -> str:
     return f"({float(x)!r}::DOUBLE)"
 
@@ -133,13 +137,13 @@ PERP = """SELECT *, ((py - (ay + tt * (yb - ay))) * (bx - ax) - (px - (ax + tt *
 
 @query(
     "B5_signed_perp",
-    f"SELECT i, line_id, {d6('off', 'dist', 'bearing')} FROM ({PERP.format(src='(SELECT t.*, l.* FROM v_track t JOIN v_lines l ON l.line_id = t.i % 25)')})",
+    f"SELECT i, line_id, {d9('off', 'dist', 'bearing')} FROM ({PERP.format(src='(SELECT t.*, l.* FROM v_track t JOIN v_lines l ON l.line_id = t.i % 25)')})",
     ("v_track", "v_lines"),
 )
 def signed_perp(spark, sf):
     t = V.track(spark, sf).withColumn("line_id", F.col("i") % 25).join(V.lines(spark, sf), "line_id")
     s = G.signed_perp(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])
-    return t.select("i", "line_id", s.alias("s")).select("i", "line_id", "s.*").select("i", "line_id", *r6("off", "dist", "bearing"))
+    return t.select("i", "line_id", s.alias("s")).select("i", "line_id", "s.*").select("i", "line_id", *r9("off", "dist", "bearing"))
 
 
 VIEWXY = "-((({x}) - px) * sin(h) + (({y}) - py) * cos(h)) AS {a}, (({x}) - px) * cos(h) - (({y}) - py) * sin(h) AS {b}"
@@ -442,9 +446,9 @@ def _near(spark, sf):
     return reference.nearest_line(V.track(spark, sf), V.lines(spark, sf))
 
 
-@query("D3_nearest_line", f"SELECT i, line_id, {d6('true_offset', 'bearing')} FROM v_near", ("v_near",))
+@query("D3_nearest_line", f"SELECT i, line_id, {d9('true_offset', 'bearing')} FROM v_near", ("v_near",))
 def nearest_line(spark, sf):
-    return _near(spark, sf).withColumn("bearing", F.col("line_bearing")).select("i", "line_id", *r6("true_offset", "bearing"))
+    return _near(spark, sf).withColumn("bearing", F.col("line_bearing")).select("i", "line_id", *r9("true_offset", "bearing"))
 
 
 add_view(
