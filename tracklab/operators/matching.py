@@ -135,18 +135,21 @@ def fine_verify(gate: DataFrame, bank: DataFrame, queries: DataFrame, low: int,
     return out.drop("_fine").withColumn("verdict", band(F.col("verified"), low, high))
 
 
-def word_grams(text: Column, n: int = 8) -> Column:
-    """Distinct n-word grams of a whole text."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-    k = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda p: F.array_join(F.slice(words, p, n), " "))
-    return F.when(k >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def word_grams(texts: DataFrame, key: str, n: int = 8) -> DataFrame:
+    """Distinct n-word grams of whole texts, one row per gram.
+
+    The words are passed through a one-element explode, so they are split once per text and not again for
+    every gram.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    w = texts.select(key, F.explode(F.array(words)).alias("_w")).where(F.size("_w") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda p: F.array_join(F.slice("_w", p, n), " "))
+    return w.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def shared_grams(texts: DataFrame, items: DataFrame, key: str, item: str, n: int = 8) -> DataFrame:
     """Number of distinct grams a text shares with an item, for pairs sharing any."""
-    a = texts.select(key, F.explode(word_grams(F.col("text"), n)).alias("gram"))
-    b = items.select(item, F.explode(word_grams(F.col("text"), n)).alias("gram"))
+    a, b = word_grams(texts, key, n), word_grams(items, item, n)
     return a.join(b, "gram").groupBy(key, item).agg(F.count(F.lit(1)).alias("score"))
 
 
