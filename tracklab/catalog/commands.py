@@ -6,7 +6,7 @@ from tracklab import params as P
 from tracklab.catalog.comparison import positions
 from tracklab.operators import commands, kinematics, resampling, smoothness, sweeps
 from tracklab.plans import views as V
-from tracklab.plans.registry import query
+from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import bounded, choose_size
 from tracklab.plans.views import add_view
 
@@ -15,22 +15,6 @@ MODEL = smoothness.MODEL
 SK = "rec, arm, seed, pass_id"
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
-
-
-def r9(*names):
-    return [F.round(n, 9).alias(n) for n in names]
-
-
-def d6(*names):
-    return ", ".join(f'round("{n}", 6) AS "{n}"' for n in names)
-
-
-def d9(*names):
-    return ", ".join(f'round("{n}", 9) AS "{n}"' for n in names)
-
-
 add_view(
     "v_gains",
     ("v_frames",),

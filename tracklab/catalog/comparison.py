@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracklab import params as P
 from tracklab.operators import kinematics, metrics, paired, resampling, runs
 from tracklab.plans import views as V
-from tracklab.plans.registry import query
+from tracklab.plans.registry import d6, r6, query
 from tracklab.plans.segments import choose_size
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
@@ -13,14 +13,6 @@ from tracklab.session import cut_lineage
 MODEL = ["rec", "arm", "seed"]
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
-
-
-def d6(*names):
-    return ", ".join(f'round({n}, 6) AS {n}' for n in names)
-
-
 FIT = "cls = 'two_row' AND \"offset\" IS NOT NULL AND heading IS NOT NULL"
 MIX = ", ".join(
     f"100.0e0 * avg(CASE WHEN cls = '{c}' THEN 1.0e0 ELSE 0.0e0 END) AS {c}_pct" for c in metrics.CLASSES

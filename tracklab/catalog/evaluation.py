@@ -6,21 +6,13 @@ from tracklab import params as P
 from tracklab.catalog.rowfit import FRAME, K, fit_sql, model_scores, pair_sql
 from tracklab.operators import evaluation, integrity, metrics, rowfit, runs, sweeps
 from tracklab.plans import views as V
-from tracklab.plans.registry import query
+from tracklab.plans.registry import d6, r6, query
 from tracklab.plans.segments import choose_size
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 from tracklab.sources import readers
 
 
-def r6(*cols):
-    return [F.round(c, 6).alias(c) for c in cols]
-
-
-def d6(*cols):
-    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
-
-
 # --- confusion --------------------------------------------------------------------------------
 add_view(
     "v_pixels",

@@ -8,27 +8,11 @@ from tracklab.functions import names
 from tracklab.operators import intervals, lookups, reference, sweeps
 from tracklab.operators.metrics import fitted
 from tracklab.plans import views as V
-from tracklab.plans.registry import query
+from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import choose_size
 from tracklab.plans.views import add_view
 
 
-def r6(*cols):
-    return [F.round(c, 6).alias(c) for c in cols]
-
-
-def r9(*cols):
-    return [F.round(c, 9).alias(c) for c in cols]
-
-
-def d6(*cols):
-    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
-
-
-def d9(*cols):
-    return ", ".join(f'round("{c}", 9) AS "{c}"' for c in cols)
-
-
 def lit(x: float) -> str:
     return f"({float(x)!r}::DOUBLE)"
 

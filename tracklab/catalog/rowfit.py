@@ -6,29 +6,13 @@ from tracklab import params as P
 from tracklab.operators import rowfit, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.quantiles import quantile_columns
-from tracklab.plans.registry import query
+from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import choose_size
 from tracklab.plans.views import add_view
 
 FRAME = ["rec", "arm", "seed", "i"]
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
-
-
-def d6(*names):
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
-
-
-def r9(*names):
-    return [F.round(n, 9).alias(n) for n in names]
-
-
-def d9(*names):
-    return ", ".join(f'round("{n}", 9) AS "{n}"' for n in names)
-
-
 def fit_sql(src: str, part: str, near: str, extend: bool = True) -> str:
     """SQL text of the side fit over ``src``, one row per ``part``."""
     hits = ", ".join(

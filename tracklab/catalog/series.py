@@ -13,10 +13,6 @@ from tracklab.session import cut_lineage
 MIN_TRAVEL = 0.3
 
 
-def r6(c):
-    return F.round(c, 6)
-
-
 add_view(
     "v_step",
     ("v_series",),
@@ -151,17 +147,17 @@ def join_exact(spark, sf):
 def step_speed(spark, sf):
     s, size = _series(spark, sf)
     s = kinematics.step_speed(s, ["rec"], size)
-    return s.select("rec", "i", r6("dt").alias("dt"), r6("ds").alias("ds"), r6("step_speed").alias("step_speed"))
+    return s.select("rec", "i", F.round("dt", 6).alias("dt"), F.round("ds", 6).alias("ds"), F.round("step_speed", 6).alias("step_speed"))
 
 
 @query("C4_box_smooth", "SELECT rec, i, round(speed, 6) AS speed FROM v_kin", ("v_kin",))
 def box_smooth(spark, sf):
-    return _kin(spark, sf)[0].select("rec", "i", r6("speed").alias("speed"))
+    return _kin(spark, sf)[0].select("rec", "i", F.round("speed", 6).alias("speed"))
 
 
 @query("C5_gradient_smoothed", "SELECT rec, i, round(vy, 6) AS vy FROM v_kin", ("v_kin",))
 def gradient(spark, sf):
-    return _kin(spark, sf)[0].select("rec", "i", r6("vy").alias("vy"))
+    return _kin(spark, sf)[0].select("rec", "i", F.round("vy", 6).alias("vy"))
 
 
 @query(
@@ -172,7 +168,7 @@ def gradient(spark, sf):
 )
 def detect_runs(spark, sf):
     return _runs(spark, sf)[0].select(
-        "rec", "pass_id", "a", "b", *[r6(c).alias(c) for c in ("y_first", "y_last", "x_median")]
+        "rec", "pass_id", "a", "b", *[F.round(c, 6).alias(c) for c in ("y_first", "y_last", "x_median")]
     )
 
 
@@ -184,7 +180,7 @@ def detect_runs(spark, sf):
 def chain_cluster(spark, sf):
     r, size = _runs(spark, sf)
     got = runs.chain_cluster(r if size is None else cut_lineage(r), ["rec"], size=size)
-    return got.select("rec", "pass_id", F.col("corridor").cast("bigint"), r6("centre").alias("centre"))
+    return got.select("rec", "pass_id", F.col("corridor").cast("bigint"), F.round("centre", 6).alias("centre"))
 
 
 @query(
@@ -222,7 +218,7 @@ def eligibility(spark, sf):
 def arc_length(spark, sf):
     f = V.frames(spark, sf).where("eligible").select("rec", "pass_id", "i", "x", "y")
     size = choose_size(f, ["rec", "pass_id"])
-    return kinematics.arc_length(f, ["rec", "pass_id"], size).select("rec", "pass_id", "i", r6("pos").alias("pos"))
+    return kinematics.arc_length(f, ["rec", "pass_id"], size).select("rec", "pass_id", "i", F.round("pos", 6).alias("pos"))
 
 
 @query("C13_heading_rate", "SELECT rec, i, round(heading_rate, 5) AS heading_rate FROM v_rate", ("v_rate",))
@@ -299,7 +295,7 @@ def run_phase(spark, sf):
     cats = runs.flank_category(m, ["rec"], size).select("rec", "i", "category")
     full = m.select("rec", "i").join(cats, ["rec", "i"], "left")
     got = runs.run_phase(full, ["rec"], F.col("category") == "turn", size)
-    return got.select("rec", "i", r6("centrality").alias("centrality"), "phase")
+    return got.select("rec", "i", F.round("centrality", 6).alias("centrality"), "phase")
 
 
 @query(
@@ -320,7 +316,7 @@ def manifest_summary(spark, sf):
     return got.withColumns(
         {
             "path_length_m": F.round("path_length_m", 5),
-            "max_corridor_pct": r6("max_corridor_pct"),
+            "max_corridor_pct": F.round("max_corridor_pct", 6),
             "n_corridors": F.col("n_corridors").cast("double"),
         }
     )
@@ -368,4 +364,4 @@ def forward_path(spark, sf):
 def heading_from_track(spark, sf):
     s, size = _series(spark, sf)
     got = kinematics.heading_from_track(s, ["rec"], size=size)
-    return got.select("rec", "i", r6("bearing").alias("bearing"))
+    return got.select("rec", "i", F.round("bearing", 6).alias("bearing"))

@@ -90,7 +90,11 @@ def stream_commands(
     )
 
 
-def with_gains(rows: DataFrame, gains: DataFrame) -> DataFrame:
-    """Static gains joined to arriving rows, with an event time taken from the recording clock."""
+def with_gains(rows: DataFrame, gains: DataFrame, start_ms: int = 1_704_067_200_000) -> DataFrame:
+    """Static gains joined to arriving rows; event time is the recording clock counted from ``start_ms``.
+
+    The watermark begins at the epoch and drops rows at or before it, so recordings must start later.
+    """
     g = gains.select("rec", "kp", "kpsi", "omega_max", "v_min", "slew_rate")
-    return rows.join(g, "rec").withColumn("event_time", F.timestamp_millis(F.round(F.col("t") * 1000).cast("bigint")))
+    ms = F.lit(start_ms) + F.round(F.col("t") * 1000).cast("bigint")
+    return rows.join(g, "rec").withColumn("event_time", F.timestamp_millis(ms))
