@@ -17,14 +17,25 @@ SCORE_DIGITS = 9
 BANK_BLOCK, QUERY_BLOCK = 50_000, 2_000
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once for use inside ``body``; a plain reuse would evaluate it again per array element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit_vector(v: Column) -> Column:
     """Zero-mean, unit-length copy of a numeric array."""
-    v = v.cast("array<double>")
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    c = F.transform(v, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(c, lambda x: x / norm)).otherwise(c)
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def scale(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return _let(norm, lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c))
+
+    def centre(a: Column) -> Column:
+        return _let(total(a) / F.size(a), lambda m: _let(F.transform(a, lambda x: x - m), scale))
+
+    return _let(v.cast("array<double>"), centre)
 
 
 def dot(a: Column, b: Column) -> Column:
