@@ -74,7 +74,7 @@ def test_flank_phase_arc_and_paths(series):
 
 def test_asof_matches_brute_force(series):
     left = series.select("rec", F.col("i").alias("id"), (F.col("event_id") * 7).alias("at")).where("id % 2 = 0")
-    right = series.select("rec", F.col("i").alias("rid"), (F.col("event_id") * 11).alias("at")).where("id % 3 = 0" if False else "rid % 3 = 0")
+    right = series.select("rec", F.col("i").alias("rid"), (F.col("event_id") * 11).alias("at")).where("rid % 3 = 0")
     lp, rp = left.toPandas(), right.toPandas().sort_values("at")
     want = {}
     for r in lp.itertuples():
