@@ -9,6 +9,7 @@ from tracklab.plans import views as V
 from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import bounded, choose_size
 from tracklab.plans.views import add_view
+from tracklab.session import cut_lineage
 
 STREAM = commands.STREAM
 MODEL = smoothness.MODEL
@@ -104,6 +105,12 @@ def _stream(spark, sf):
     return commands.command_stream(V.scores(spark, sf), f, size), size
 
 
+def _stream_table(spark, sf):
+    """The command table as a written stage, for queries that read it more than once."""
+    c, size = _stream(spark, sf)
+    return cut_lineage(c), size
+
+
 @query("J1_to_streams", f"SELECT {SK}, i, CAST(abstained AS INT) AS abstained, round(\"offset\", 6) AS \"offset\" FROM v_streams", ("v_streams",))
 def to_streams(spark, sf):
     s, _, _ = _streams(spark, sf)
@@ -173,7 +180,7 @@ def slew_limit(spark, sf):
     ("v_ramp", "v_spans"),
 )
 def stream_summary(spark, sf):
-    c, size = _stream(spark, sf)
+    c, size = _stream_table(spark, sf)
     return smoothness.stream_summary(c, size).withColumn("mean_hold_run", F.round("mean_hold_run", 6))
 
 
@@ -209,7 +216,7 @@ SM = ("rms_dw", "jitter_sd", "rms_dw_s", "saturation_pct")
 
 
 def _smooth(spark, sf):
-    c, size = _stream(spark, sf)
+    c, size = _stream_table(spark, sf)
     return smoothness.smoothness(smoothness.delta_views(c, size), c)
 
 
@@ -246,7 +253,7 @@ HS = ("mean_len", "max_len_s", "over_1s_pct", "over_5s_pct")
     ("v_spans", "v_ramp"),
 )
 def hold_spans(spark, sf):
-    c, size = _stream(spark, sf)
+    c, size = _stream_table(spark, sf)
     got = smoothness.hold_spans(c, size)
     return got.select(*MODEL, "n_spans", "n_held", "median_len", "p95_len", "max_len", *r6(*HS))
 
@@ -275,7 +282,7 @@ def smoothness_compare(spark, sf):
 
 @query("J11_smoothness_compare_ci")
 def smoothness_compare_ci(spark, sf):
-    c, size = _stream(spark, sf)
+    c, size = _stream_table(spark, sf)
     across = smoothness.across_seed_deltas(smoothness.delta_views(c, size), "inclusive", "omega_cmd")
     pos, psize = positions(spark, sf)
     rows = smoothness.smoothness_compare(across).join(pos, ["rec", "i"]).withColumn("L", F.lit(9).cast("bigint"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tracklab import params as P
 from tracklab.plans.segments import dense_index, fills
+from tracklab.session import cut_lineage
 
 CHUNK = 4096
 
@@ -33,26 +34,37 @@ def lag_autocorr(
     keys = list(keys)
     moments = series.groupBy(*keys).agg(F.avg("v").alias("_mu"), F.var_pop("v").alias("_var"))
     dev = series.join(moments, keys).withColumn("_d", F.col("v") - F.col("_mu"))
-    spot = dev.groupBy(*keys, "run", "pos").agg(
+    spot = dev.groupBy(*keys, "_var", "run", "pos").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q")
     )
+    spot = cut_lineage(spot)
     same = spot.select(
         *keys,
+        "_var",
         F.lit(0).cast("bigint").alias("bin"),
         ((F.col("_s") * F.col("_s") - F.col("_q")) / 2).alias("_num"),
         (F.col("_n") * (F.col("_n") - 1) / 2).cast("bigint").alias("_cnt"),
     ).where("_cnt > 0")
     own = F.floor(F.col("pos") / max_lag)
-    a = spot.select(*keys, "run", F.explode(F.array(own, own + 1)).alias("_b"), F.col("pos").alias("_pa"),
-                    F.col("_n").alias("_na"), F.col("_s").alias("_sa"))
-    b = spot.select(*keys, "run", own.alias("_b"), F.col("pos").alias("_pb"),
-                    F.col("_n").alias("_nb"), F.col("_s").alias("_sb"))
+    a = spot.select(
+        *keys,
+        "_var",
+        "run",
+        F.explode(F.array(own, own + 1)).alias("_b"),
+        F.col("pos").alias("_pa"),
+        F.col("_n").alias("_na"),
+        F.col("_s").alias("_sa"),
+    )
+    b = spot.select(
+        *keys, "run", own.alias("_b"), F.col("pos").alias("_pb"), F.col("_n").alias("_nb"), F.col("_s").alias("_sb")
+    )
     gap = F.col("_pb") - F.col("_pa")
     near = (
         a.join(b, [*keys, "run", "_b"])
         .where((gap > 0) & (gap < max_lag))
         .select(
             *keys,
+            "_var",
             F.floor(gap / bin_m).alias("bin"),
             (F.col("_sa") * F.col("_sb")).alias("_num"),
             (F.col("_na") * F.col("_nb")).alias("_cnt"),
@@ -63,11 +75,9 @@ def lag_autocorr(
         same.unionByName(near)
         .where(F.col("bin") < n_bins)
         .groupBy(*keys, "bin")
-        .agg(F.sum("_num").alias("_num"), F.sum("_cnt").alias("pairs"))
-    )
-    return sums.join(moments, keys).select(
-        *keys, "bin", "pairs", (F.col("_num") / F.col("pairs") / F.col("_var")).alias("ac")
+        .agg(F.sum("_num").alias("_num"), F.sum("_cnt").alias("pairs"), F.max("_var").alias("_var"))
     )
+    return sums.select(*keys, "bin", "pairs", (F.col("_num") / F.col("pairs") / F.col("_var")).alias("ac"))
 
 
 def bin_centres(max_lag: float = P.LAG_MAX_M, bin_m: float = P.LAG_BIN_M) -> list[float]:
