@@ -77,7 +77,7 @@ def lag_autocorr(
         .groupBy(*keys, "bin")
         .agg(F.sum("_num").alias("_num"), F.sum("_cnt").alias("pairs"), F.max("_var").alias("_var"))
     )
-    return sums.select(*keys, "bin", "pairs", (F.col("_num") / F.col("pairs") / F.col("_var")).alias("ac"))
+    return sums.select(*keys, "bin", "pairs", F.try_divide(F.col("_num") / F.col("pairs"), F.col("_var")).alias("ac"))
 
 
 def bin_centres(max_lag: float = P.LAG_MAX_M, bin_m: float = P.LAG_BIN_M) -> list[float]:
@@ -106,8 +106,8 @@ def block_length(
         "spacing_m",
         "decorr_m",
         block_m.alias("block_m"),
-        F.greatest(F.lit(2), F.bround(block_m / F.col("spacing_m"), 0)).cast("bigint").alias("L"),
-        (F.col("decorr_m") / F.col("spacing_m")).alias("samples_per_decorr"),
+        F.greatest(F.lit(2), F.bround(F.try_divide(block_m, F.col("spacing_m")), 0)).cast("bigint").alias("L"),
+        F.try_divide(F.col("decorr_m"), F.col("spacing_m")).alias("samples_per_decorr"),
     )
 
 

@@ -281,12 +281,13 @@ def linear_r2(rows: DataFrame, keys: Sequence[str], y: str, a: str, b: str) -> D
         - 2 * F.col("_ya") * F.col("_yb") * F.col("_ab")
         + F.col("_yb") * F.col("_yb") * F.col("_aa")
     )
+    explained = F.try_divide(top, det)
     return m.select(
         *keys,
         "n",
         f"corr_{a}",
         f"corr_{b}",
-        (top / det / F.col("_yy")).alias("r2"),
-        F.sqrt(F.greatest(F.col("_yy") - top / det, F.lit(0.0))).alias("resid_rms"),
+        F.try_divide(explained, F.col("_yy")).alias("r2"),
+        F.sqrt(F.greatest(F.col("_yy") - explained, F.lit(0.0))).alias("resid_rms"),
         F.sqrt("_yy").alias("reference_std"),
     )

@@ -29,8 +29,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Only when no folder is configured and the master is local (tests) is a temporary one used.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if folder is None:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
