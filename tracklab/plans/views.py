@@ -25,7 +25,7 @@ def events(spark, sf) -> DataFrame:
         "event_id",
         "event_type",
         "value",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("us"),
     )
 
 
