@@ -240,9 +240,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.05,
     name = free_name(docs, "hits")
     kept = find_hits(docs, items, name, text_col, **options).where(~contaminated(name, max_coverage))
     if max_span is not None:
-        def cut(texts, hits):
-            return [t if t is None or not s else cut_spans(t, [list(x) for x in s], max_span) for t, s in zip(texts, hits)]
+        trimmed = free_name(kept, "trimmed")
 
-        trim = F.pandas_udf(lambda t, s: __import__("pandas").Series(cut(t, s)), "string")
-        kept = kept.withColumn(text_col, F.when(F.col(f"{name}.n_hit") > 0, trim(F.col(text_col), F.col(f"{name}.spans"))).otherwise(F.col(text_col)))
+        def work():
+            def apply(texts: pa.Array, hits: pa.StructArray) -> pa.StructArray:
+                made = [cut_spans(t, h["spans"], max_span) if h["spans"] else t for t, h in zip(texts.to_pylist(), hits.to_pylist())]
+                return pa.StructArray.from_arrays([pa.array(made, pa.string())], names=["text"])
+
+            return apply
+
+        kept = with_struct(kept, [text_col, name], trimmed, T.StructType([T.StructField("text", T.StringType())]), work)
+        kept = kept.withColumn(text_col, F.col(f"{trimmed}.text")).drop(trimmed)
     return kept.drop(name)
