@@ -7,7 +7,7 @@ from tracklab.catalog.comparison import positions
 from tracklab.operators import commands, kinematics, resampling, smoothness, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, d9, r6, r9, query
-from tracklab.plans.segments import bounded, choose_size
+from tracklab.plans.segments import SEGMENT_ROWS, bounded
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 
@@ -91,7 +91,7 @@ add_view(
 
 def _frames(spark, sf):
     f = V.frames(spark, sf)
-    return f, choose_size(f, ["rec"])
+    return f, SEGMENT_ROWS
 
 
 def _streams(spark, sf):
@@ -199,7 +199,7 @@ def slew_stats(spark, sf):
     s, g, size = _streams(spark, sf)
     held = commands.hold_last(commands.command(s, g, size=size), size)
     scored = V.table(spark, sf, "lineitem").select((F.col("l_partkey") % 3).alias("rec"))
-    return commands.slew_stats(held, size, choose_size(scored, ["rec"])).select("rec", "n", *r6(*SS))
+    return commands.slew_stats(held, size).select("rec", "n", *r6(*SS))
 
 
 @query(

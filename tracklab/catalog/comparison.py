@@ -6,7 +6,7 @@ from tracklab import params as P
 from tracklab.operators import kinematics, metrics, paired, resampling, runs
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, r6, query
-from tracklab.plans.segments import choose_size
+from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 
@@ -62,7 +62,7 @@ SIGN = "CASE WHEN round(avg(v), 12) > 0 THEN '+' WHEN round(avg(v), 12) < 0 THEN
 
 def positions(spark, sf):
     f = V.frames(spark, sf).where("eligible").select("rec", "pass_id", "i", "x", "y")
-    size = choose_size(f, ["rec", "pass_id"])
+    size = SEGMENT_ROWS
     got = kinematics.arc_length(f, ["rec", "pass_id"], size)
     return got.select("rec", "i", F.col("pass_id").alias("run"), "pos"), size
 
@@ -208,13 +208,13 @@ add_view(
 
 def frame_categories(spark, sf):
     f = V.frames(spark, sf)
-    size = choose_size(f, ["rec"])
+    size = SEGMENT_ROWS
     return runs.flank_category(f, ["rec"], size).select("rec", "i", "category"), f, size
 
 
 def judged(spark, sf):
     cats, f, size = frame_categories(spark, sf)
-    floor = runs.fit_threshold(f, ["rec"], "vx", 0.01, "v_min", size)
+    floor = runs.fit_threshold(f, ["rec"], "vx", 0.01, "v_min")
     flags = f.join(floor, ["rec"]).select(
         "rec",
         "i",
@@ -334,12 +334,12 @@ def rule_overlap(spark, sf):
 )
 def predicate_addendum(spark, sf):
     f = V.frames(spark, sf)
-    size = choose_size(f, ["rec"])
-    lim = runs.fit_threshold(f, ["rec"], "vx", 0.01, "v_min", size)
+    size = SEGMENT_ROWS
+    lim = runs.fit_threshold(f, ["rec"], "vx", 0.01, "v_min")
     parts = []
     for src in ("odom", "imu"):
         a = f.withColumn("_a", F.abs(f"yaw_{src}"))
-        t = a.join(lim, "rec").join(runs.fit_threshold(a, ["rec"], "_a", 0.99, "limit", size), "rec")
+        t = a.join(lim, "rec").join(runs.fit_threshold(a, ["rec"], "_a", 0.99, "limit"), "rec")
         got = metrics.predicate_addendum(t, f"yaw_{src}", "v_min", "limit")
         parts.append(got.withColumn("source", F.lit(src)))
     return parts[0].unionByName(parts[1]).withColumn("turn_limit", F.round("turn_limit", 6))

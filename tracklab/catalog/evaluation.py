@@ -7,7 +7,7 @@ from tracklab.catalog.rowfit import FRAME, K, fit_sql, model_scores, pair_sql
 from tracklab.operators import evaluation, integrity, metrics, rowfit, runs, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, r6, query
-from tracklab.plans.segments import choose_size
+from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 from tracklab.sources import readers
@@ -215,7 +215,7 @@ SCQ = ("min", "max", "mean", "p25", "p50", "p75", "p90")
 )
 def score_summary(spark, sf):
     e = V.events(spark, sf)
-    size = choose_size(e, ["event_type"])
+    size = SEGMENT_ROWS
     return evaluation.score_summary(e, ["event_type"], "value", (5, 20), size).select("event_type", "n", "ge_5", "ge_20", *r6(*SCQ))
 
 
@@ -351,8 +351,8 @@ def threshold_sweep(spark, sf):
     from tracklab.plans.quantiles import quantile_columns
 
     rows = _curve_rows(spark, sf)
-    size = choose_size(V.frames(spark, sf), ["rec"])
-    med = quantile_columns(rows, ["rec", "threshold"], "iou", {"median_iou": 0.5}, size)
+    size = SEGMENT_ROWS
+    med = quantile_columns(rows, ["rec", "threshold"], "iou", {"median_iou": 0.5})
     got = sweeps.threshold_curve(rows, ["rec"]).join(med, ["rec", "threshold"])
     return got.select("rec", "threshold", "n_catastrophic", "n", *r6("mean_iou", "median_iou"))
 
@@ -428,7 +428,7 @@ add_view(
 
 def _status(spark, sf):
     c = V.table(spark, sf, "conversations")
-    size = choose_size(c, ["conv_id"])
+    size = SEGMENT_ROWS
     return integrity.resolve_status(c, ["conv_id"], "turn", F.col("role") == "user", MARKS, r"\b([a-z]{3})\.", size)
 
 
@@ -449,7 +449,7 @@ def resolve_status(spark, sf):
 )
 def retired_ids(spark, sf):
     c = V.table(spark, sf, "conversations")
-    size = choose_size(c, ["conv_id"])
+    size = SEGMENT_ROWS
     pattern = r"(?:^|[^A-Za-z0-9_])([a-z]{3})\."
     return integrity.resolve_status(c, ["conv_id"], "turn", F.col("role") == "user", MARKS, pattern, size)[1]
 
@@ -510,7 +510,7 @@ def merge_sources(spark, sf):
     e = V.events(spark, sf).withColumn("session", F.lit("2024"))
     parts = [e.where(F.col("event_type").isin("click", "view")), e.where(~F.col("event_type").isin("click", "view"))]
     got = readers.merge_sources(
-        parts, ["rec"], ["us", "event_id"], "session", F.floor(F.col("us") / V.DAY_US), V.series_size(spark, sf)
+        parts, ["rec"], ["us", "event_id"], "session"
     )
     return got.select("rec", "event_id", "i")
 
@@ -564,6 +564,6 @@ def source_inventory(spark, sf):
 def rows_at_fractions(spark, sf):
     e = V.events(spark, sf)
     got = integrity.at_fractions(
-        e, ["rec"], ["us", "event_id"], (0.0, 0.25, 0.5, 0.75, 1.0), F.floor(F.col("us") / V.DAY_US), V.series_size(spark, sf)
+        e, ["rec"], ["us", "event_id"], (0.0, 0.25, 0.5, 0.75, 1.0)
     )
     return got.select("rec", "fraction", "event_id", "value")

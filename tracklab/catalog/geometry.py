@@ -9,7 +9,7 @@ from tracklab.operators import intervals, lookups, reference, sweeps
 from tracklab.operators.metrics import fitted
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, d9, r6, r9, query
-from tracklab.plans.segments import choose_size
+from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
 
 
@@ -269,8 +269,8 @@ add_view(
 
 
 def _merged(spark, sf):
-    size = V.series_size(spark, sf)
-    s = V.series(spark, sf, size)
+    size = SEGMENT_ROWS
+    s = V.series(spark, sf)
     n = s.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
     return intervals.merge_intervals(s.where("contaminated"), n, ["rec"], HALF, size), s, size
 
@@ -295,13 +295,14 @@ add_view(
     "v_screen",
     ("v_px",),
     """SELECT rec, i, count(*) AS n_hits, max(conf) AS max_conf, max(frac) AS max_fraction, max(frac) < 0.001 AS likely_distant
-       FROM v_px WHERE cls = 1 AND conf >= 1.0 AND frac > 0.08 GROUP BY rec, i""",
+       FROM v_px WHERE (l_orderkey + l_linenumber) % 41 = 0 AND conf >= 0.2e0 GROUP BY rec, i""",
 )
 
 
 def _screen(spark, sf):
-    big = V.boxes(spark, sf).where(G.area_fraction() > 0.08)
-    return intervals.screen(big, ["rec", "i"], 1, conf=1.0)
+    """All boxes are screened; a fixed share of them stands for detections of the target class, 2."""
+    target = (F.col("l_orderkey") + F.col("l_linenumber")) % 41 == 0
+    return intervals.screen(V.boxes(spark, sf).withColumn("cls", F.when(target, 2).otherwise(F.col("cls"))), ["rec", "i"], 2)
 
 
 @query(
@@ -333,7 +334,7 @@ def exclude_flagged(spark, sf):
 )
 def even_sample(spark, sf):
     rows = V.scores(spark, sf).where("cls = 'two_row'").select("rec", "arm", "seed", "i")
-    size = choose_size(rows, ["rec", "arm", "seed"])
+    size = SEGMENT_ROWS
     return lookups.even_sample(rows, ["rec", "arm", "seed"], "i", 6, size)
 
 
@@ -387,7 +388,7 @@ def gate_status(spark, sf):
 )
 def median_representative(spark, sf):
     rows = V.scores(spark, sf).where("seed = 42 and arm = 'A'")
-    size = choose_size(rows, ["rec"])
+    size = SEGMENT_ROWS
     got = lookups.median_representative(rows, ["rec"], "n_base", "i", F.col("cls") == "none", size)
     return got.withColumn("median", F.round("median", 6))
 

@@ -7,7 +7,7 @@ from tracklab.operators import rowfit, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.quantiles import quantile_columns
 from tracklab.plans.registry import d6, d9, r6, r9, query
-from tracklab.plans.segments import choose_size
+from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
 
 FRAME = ["rec", "arm", "seed", "i"]
@@ -294,7 +294,7 @@ def anchors(spark, sf, scored):
 
     f = V.frames(spark, sf).where("eligible").select("rec", "i", "corridor", "pass_id")
     hits = scored.where("arm = 'C' and seed = 42 and cls = 'two_row'").select("rec", "i").join(f, ["rec", "i"])
-    size = choose_size(f, ["rec", "corridor", "pass_id"])
+    size = SEGMENT_ROWS
     return mid_run_anchors(hits, ["rec", "corridor"], 2, size)
 
 
@@ -338,8 +338,8 @@ WID = ("p25", "p50", "p75", "mean_width")
 )
 def row_width(spark, sf):
     w = rowfit.row_widths(V.points(spark, sf), FRAME)
-    size = choose_size(V.spine(spark, sf), ["rec"])
-    q = quantile_columns(w, ["rec"], "width", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, size)
+    size = SEGMENT_ROWS
+    q = quantile_columns(w, ["rec"], "width", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     n = w.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg("width").alias("mean_width"))
     return n.join(q, "rec").select("rec", "n", *r6(*WID))
 
@@ -363,7 +363,7 @@ def slope_study(spark, sf):
         ((F.col("l.row_y") + F.col("r.row_y")) / 2).alias("k"),
     )
     key = ["rec", "arm"]
-    size = choose_size(V.spine(spark, sf), key)
+    size = SEGMENT_ROWS
     agg = got.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         F.corr("mL", "mR").alias("corr_lr"),
@@ -373,8 +373,8 @@ def slope_study(spark, sf):
         F.sqrt(F.avg(F.col("offset") * F.col("offset"))).alias("line_rms"),
         F.avg(F.abs(F.col("k") - F.col("offset"))).alias("mean_abs_diff"),
     )
-    qm = quantile_columns(got, key, "mL", {"ml_p10": 0.1, "ml_p50": 0.5, "ml_p90": 0.9}, size)
-    qd = quantile_columns(got, key, "dm", {"dm_p50": 0.5}, size)
+    qm = quantile_columns(got, key, "mL", {"ml_p10": 0.1, "ml_p50": 0.5, "ml_p90": 0.9})
+    qd = quantile_columns(got, key, "dm", {"dm_p50": 0.5})
     return agg.join(qm, key).join(qd, key).select(*key, "n", *r6(*SL))
 
 
@@ -509,8 +509,8 @@ def window_sweep(spark, sf):
 def window_shifts(spark, sf):
     key = ["rec", "arm", "win"]
     s = sweeps.window_shifts(V.points(spark, sf), ["rec", "arm"])
-    size = choose_size(V.spine(spark, sf), ["rec", "arm"])
-    q = quantile_columns(s, key, "shift", {"shift_p50": 0.5, "shift_p90": 0.9}, size)
+    size = SEGMENT_ROWS
+    q = quantile_columns(s, key, "shift", {"shift_p50": 0.5, "shift_p90": 0.9})
     return q.select(*key, *r6("shift_p50", "shift_p90"))
 
 

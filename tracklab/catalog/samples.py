@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracklab.operators import intervals, matching, samples, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.registry import query
-from tracklab.plans.segments import choose_size, dense_index
+from tracklab.plans.segments import SEGMENT_ROWS, dense_index
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 
@@ -33,8 +33,7 @@ add_view(
 
 def _split(spark, sf):
     g = V.groups(spark, sf)
-    size = choose_size(g, ["stratum"])
-    return samples.stratified_split(samples.representative(g, "gid", "doc_id"), "gid", "stratum", size=size)
+    return samples.stratified_split(samples.representative(g, "gid", "doc_id"), "gid", "stratum")
 
 
 @query("I2_representative", "SELECT doc_id, gid, CAST(is_representative AS INT) AS is_representative FROM v_split", ("v_split",))
@@ -286,8 +285,8 @@ def contamination_census(spark, sf):
     from tracklab.functions.geometry import band
 
     d = V.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("rec"))
-    size = choose_size(d, ["rec"])
-    idx = dense_index(d, ["rec"], ["doc_id"], F.floor(F.col("doc_id") / (size or 1)), "i", size)
+    size = SEGMENT_ROWS
+    idx = dense_index(d, ["rec"], ["doc_id"])
     hits = idx.join(_shared(spark, sf), "doc_id").groupBy("rec", "i").agg(F.max("score").alias("score"))
     hits = hits.withColumn("verdict", band(F.col("score"), 15, 30))
     found = hits.where("verdict = 'present'")

@@ -6,7 +6,7 @@ from tracklab import params as P
 from tracklab.operators import asof, kinematics, runs
 from tracklab.plans import views as V
 from tracklab.plans.registry import query
-from tracklab.plans.segments import choose_size
+from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
 from tracklab.session import cut_lineage
 
@@ -79,8 +79,8 @@ add_view(
 
 
 def _series(spark, sf):
-    size = V.series_size(spark, sf)
-    return V.series(spark, sf, size), size
+    size = SEGMENT_ROWS
+    return V.series(spark, sf), size
 
 
 def manifest(spark, sf):
@@ -110,7 +110,7 @@ def asof_nearest(spark, sf):
     e = V.events(spark, sf)
     left = e.where(F.col("event_type") == "click").select("rec", "event_id", "us")
     right = e.where(F.col("event_type") == "view").select("rec", F.col("event_id").alias("near_id"), "us")
-    got = asof.asof_nearest(left, right, ["rec"], "us", ["near_id"], V.DAY_US if V.series_size(spark, sf) else None)
+    got = asof.asof_nearest(left, right, ["rec"], "us", ["near_id"])
     return got.where("near_id is not null").select("rec", "event_id", "near_id", F.col("gap").alias("gap_us"))
 
 
@@ -179,7 +179,7 @@ def detect_runs(spark, sf):
 )
 def chain_cluster(spark, sf):
     r, size = _runs(spark, sf)
-    got = runs.chain_cluster(r if size is None else cut_lineage(r), ["rec"], size=size)
+    got = runs.chain_cluster(cut_lineage(r), ["rec"], size=size)
     return got.select("rec", "pass_id", F.col("corridor").cast("bigint"), F.round("centre", 6).alias("centre"))
 
 
@@ -217,7 +217,7 @@ def eligibility(spark, sf):
 )
 def arc_length(spark, sf):
     f = V.frames(spark, sf).where("eligible").select("rec", "pass_id", "i", "x", "y")
-    size = choose_size(f, ["rec", "pass_id"])
+    size = SEGMENT_ROWS
     return kinematics.arc_length(f, ["rec", "pass_id"], size).select("rec", "pass_id", "i", F.round("pos", 6).alias("pos"))
 
 
@@ -251,7 +251,7 @@ def _rated(spark, sf):
 )
 def fit_threshold(spark, sf):
     m, size = _rated(spark, sf)
-    got = runs.fit_threshold(m, ["rec"], "heading_rate", 0.99, "turn_limit", size)
+    got = runs.fit_threshold(m, ["rec"], "heading_rate", 0.99, "turn_limit")
     return got.select("rec", F.round("turn_limit", 5).alias("turn_limit"))
 
 

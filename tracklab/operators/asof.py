@@ -11,12 +11,11 @@ from tracklab.plans.segments import fills
 
 
 def asof_nearest(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take: Sequence[str], width: float | None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take: Sequence[str]
 ) -> DataFrame:
     """Give every left row the right row nearest in ``at``; an equal distance goes to the earlier one.
 
-    One union and one carried fill instead of a range join.  ``width`` is the extent of ``at`` handled
-    per task, or ``None`` where every key was counted to fit one.  Adds the taken columns, ``<at>_right`` and ``gap``.
+    One union and one carried fill instead of a range join.  Adds the taken columns, ``<at>_right`` and ``gap``.
     """
     payload = F.struct(F.col(at).alias("_at"), *[F.col(c) for c in take])
     lhs = left.withColumn("_r", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType))
@@ -24,7 +23,7 @@ def asof_nearest(
     both = lhs.withColumn("_src", F.lit(1)).unionByName(rhs.withColumn("_src", F.lit(0)), allowMissingColumns=True)
     order = [at, "_src"]
     known = F.col("_r")
-    both = fills(both, keys, order, before={"_before": known}, after={"_after": known}, idx=at, size=width)
+    both = fills(both, keys, order, before={"_before": known}, after={"_after": known}, idx=None)
     rows = both.where(F.col("_src") == 1)
     d_before = F.col(at) - F.col("_before._at")
     d_after = F.col("_after._at") - F.col(at)

@@ -138,9 +138,9 @@ def viability(stats: DataFrame, by: str) -> DataFrame:
     return g.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("ALL")))
 
 
-def score_summary(rows: DataFrame, keys: Sequence[str], value: str, cuts: Sequence[float], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def score_summary(rows: DataFrame, keys: Sequence[str], value: str, cuts: Sequence[float], size: int = SEGMENT_ROWS) -> DataFrame:
     """Distribution of a score per group and counts at cut-offs."""
-    q = quantile_columns(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, size)
+    q = quantile_columns(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
     g = rows.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.min(value).alias("min"),

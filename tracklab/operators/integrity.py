@@ -56,7 +56,7 @@ def resolve_status(
     header: Column,
     patterns: dict[str, str],
     retires: str,
-    size: int | None = SEGMENT_ROWS,
+    size: int = SEGMENT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """State of every section of an append-only log, and the ids each section retires.
 
@@ -64,7 +64,7 @@ def resolve_status(
     among its lines decides (DEAD, PARTIAL, AMENDED, else CURRENT).
     """
     keys = list(keys)
-    t = fills(text, keys, [order], before={"section": F.when(header, F.col(order))}, idx=order, size=size)
+    t = fills(text, keys, [order], before={"section": F.when(header, F.col(order))}, idx=None)
     lines = t.where(F.col("section").isNotNull()).select(
         *keys, "section", order, F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
@@ -101,11 +101,11 @@ def inventory(messages: DataFrame, keys: Sequence[str], value: str, time: str) -
 
 
 def at_fractions(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fractions: Sequence[float], bucket: Column, size: int | None = SEGMENT_ROWS
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fractions: Sequence[float]
 ) -> DataFrame:
     """Rows at fixed fractions of each session (position int(f * (n - 1)))."""
     keys = list(keys)
-    ranked = dense_index(rows, keys, order, bucket, "_k", size)
+    ranked = dense_index(rows, keys, order, "_k")
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     spots = F.array(*[F.struct(F.lit(f).alias("fraction"), F.floor(f * (F.col("_n") - 1)).alias("_k")) for f in fractions])
     want = n.select(*keys, F.explode(spots).alias("_s")).select(*keys, "_s.*")

@@ -13,12 +13,12 @@ from tracklab.plans.segments import SEGMENT_ROWS, bounded, dense_index, fills
 
 
 def merge_intervals(
-    points: DataFrame, lengths: DataFrame, keys: Sequence[str], half: int, size: int | None = SEGMENT_ROWS
+    points: DataFrame, lengths: DataFrame, keys: Sequence[str], half: int, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Points widened by ``half`` rows, clipped to the recording (``n`` rows) and merged when they touch."""
     keys = list(keys)
     p = points.select(*keys, "i").distinct()
-    p = dense_index(p, keys, ["i"], F.floor(F.col("i") / (size or 1)), "_k", size)
+    p = dense_index(p, keys, ["i"], "_k")
     apart = lambda w: {"_new": F.coalesce(F.col("i") - half > F.lag("i").over(w) + half + 1, F.lit(False)).cast("int")}
     p = bounded(p, keys, 1, [apart], idx="_k", size=size)
     p = fills(p, keys, ["_k"], sums={"_g": F.col("_new")}, idx="_k", size=size)
@@ -27,7 +27,7 @@ def merge_intervals(
 
 
 def flag_in_intervals(
-    rows: DataFrame, intervals: DataFrame, keys: Sequence[str], out: str = "inside", size: int | None = SEGMENT_ROWS
+    rows: DataFrame, intervals: DataFrame, keys: Sequence[str], out: str = "inside", size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Mark rows inside one of the merged (disjoint) intervals, both ends included."""
     keys = list(keys)

@@ -40,11 +40,11 @@ def step(w: WindowSpec) -> dict[str, Column]:
     return {"dt": dt, "ds": ds, "step_speed": ds / F.greatest(dt, F.lit(P.MIN_DT_S))}
 
 
-def step_speed(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def step_speed(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     return bounded(df, keys, 1, [step], size=size)
 
 
-def kinematics(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def kinematics(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """``ds``, smoothed ``speed`` and smoothed along-row velocity ``vy`` in one pass."""
     steps = [
         lambda w: {**step(w), "_gy": gradient("y", "t", w)},
@@ -53,7 +53,7 @@ def kinematics(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_RO
     return bounded(df, keys, HALF + 1, steps, size=size).drop("_gy")
 
 
-def heading_rate(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def heading_rate(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """Smoothed angular change of the smoothed velocity, zero where the motion is too slow."""
 
     def turn(w):
@@ -74,7 +74,7 @@ def heading_rate(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_
     return bounded(df, keys, 2 * HALF + 2, steps, size=size).drop("_gx", "_gy", "_vx", "_vy", "_hr")
 
 
-def arc_length(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def arc_length(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """Distance travelled along the given rows of each key, taken in ``i`` order."""
     prev = fills(df, keys, ["i"], before={"_q": F.struct("x", "y")}, size=size, inclusive=False)
     d = F.coalesce(F.hypot(F.col("x") - F.col("_q.x"), F.col("y") - F.col("_q.y")), F.lit(0.0))
@@ -82,7 +82,7 @@ def arc_length(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_RO
 
 
 def heading_from_track(
-    df: DataFrame, keys: Sequence[str], reach: int = 5, min_travel: float = P.MIN_TRAVEL_M, size: int | None = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], reach: int = 5, min_travel: float = P.MIN_TRAVEL_M, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Bearing of the displacement over +-``reach`` rows; rows with too little travel are left out."""
 
@@ -105,7 +105,7 @@ def forward_path(
     reach_m: float = 9.0,
     half_width_m: float | None = None,
     behind_m: float = -0.5,
-    size: int | None = SEGMENT_ROWS,
+    size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Upcoming positions in the row's own frame, up to the first one leaving the view box.
 

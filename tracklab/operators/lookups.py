@@ -12,7 +12,7 @@ from tracklab.plans.segments import SEGMENT_ROWS, dense_index
 
 
 def mid_run_anchors(
-    rows: DataFrame, keys: Sequence[str], k: int = 2, size: int | None = SEGMENT_ROWS
+    rows: DataFrame, keys: Sequence[str], k: int = 2, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """``k`` rows at the middle of each key's longest run (``pass_id``); the earlier run wins ties."""
     keys = list(keys)
@@ -21,15 +21,15 @@ def mid_run_anchors(
         F.max_by(F.struct("pass_id", "_n"), F.struct("_n", -F.col("_first"))).alias("_b")
     ).select(*keys, "_b.pass_id", "_b._n")
     held = rows.join(best, [*keys, "pass_id"])
-    held = dense_index(held, [*keys, "pass_id"], ["i"], F.floor(F.col("i") / (size or 1)), "_at", size)
+    held = dense_index(held, [*keys, "pass_id"], ["i"], "_at")
     first = F.greatest(F.lit(0), F.floor((F.col("_n") - k) / 2))
     return held.where((F.col("_at") >= first) & (F.col("_at") < first + k)).drop("_at", "_n")
 
 
-def even_sample(rows: DataFrame, keys: Sequence[str], order: str, n: int, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def even_sample(rows: DataFrame, keys: Sequence[str], order: str, n: int, size: int = SEGMENT_ROWS) -> DataFrame:
     """``n`` rows spread evenly over each key, ends included (position = integer part of the even step)."""
     keys = list(keys)
-    ranked = dense_index(rows, keys, [order], F.floor(F.col(order) / (size or 1)), "_at", size)
+    ranked = dense_index(rows, keys, [order], "_at")
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     step = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
@@ -40,11 +40,11 @@ def even_sample(rows: DataFrame, keys: Sequence[str], order: str, n: int, size:
 
 
 def median_representative(
-    rows: DataFrame, keys: Sequence[str], value: str, tie: str, skip: Column | None = None, size: int | None = SEGMENT_ROWS
+    rows: DataFrame, keys: Sequence[str], value: str, tie: str, skip: Column | None = None, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Row of each key closest to the key's median of ``value``; lowest ``tie`` first, skipped rows excluded."""
     keys = list(keys)
-    mid = quantile_columns(rows, keys, value, {"median": 0.5}, size)
+    mid = quantile_columns(rows, keys, value, {"median": 0.5})
     cand = (rows if skip is None else rows.where(~skip)).join(mid, keys)
     best = F.min_by(F.struct(tie, value), F.struct(F.abs(F.col(value) - F.col("median")), F.col(tie)))
     return cand.groupBy(*keys).agg(F.max("median").alias("median"), best.alias("_b")).select(*keys, "median", "_b.*")

@@ -8,6 +8,7 @@ are partitioned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklab import params as P
-from tracklab.plans.segments import dense_index, fills
+from tracklab.plans.segments import SEGMENT_ROWS, dense_index, fills
 from tracklab.session import cut_lineage
 
 CHUNK = 4096
+#: Accumulators that a task holds before it sends them on; equal keys meet again after the shuffle.
+HELD_BYTES = 64 << 20
 
 
 def lag_autocorr(
@@ -119,15 +122,35 @@ def ci_reliability(lengths: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("reliable", ok)
 
 
-def _poisson_steps(rate: float) -> np.ndarray:
-    p = cdf = float(np.exp(-rate))
-    steps, k = [cdf], 0
-    while cdf < 1 - 1e-12 and k < 200:
-        k += 1
-        p *= rate / k
+#: Largest rate that is drawn at once. A larger one is split into equal independent parts, whose sum has the same law.
+MOST_RATE = 32.0
+
+
+def poisson_plan(rate: float) -> tuple[int, np.ndarray]:
+    """(independent parts, cumulative probabilities of one part up to a tail of 1e-12)."""
+    parts = max(1, math.ceil(rate / MOST_RATE))
+    own = rate / parts
+    p = cdf = math.exp(-own)
+    steps = [cdf]
+    while 1 - cdf > 1e-12 and p > 0:
+        p *= own / len(steps)
         cdf += p
         steps.append(cdf)
-    return np.array(steps)
+    return parts, np.array(steps)
+
+
+def poisson_draws(ids: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray]) -> np.ndarray:
+    """Poisson weights per (row id, replicate); every part has a hash stream of its own."""
+    parts, cuts = plan
+    w = np.zeros((ids.size, reps.size))
+    for part in range(parts):
+        u = _uniform(ids ^ np.uint64(part * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF), reps)
+        for c in cuts:
+            hit = u > c
+            if not hit.any():
+                break
+            w += hit
+    return w
 
 
 def _uniform(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
@@ -161,24 +184,25 @@ def replicate_sums(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple, np.ndarray] = {}
-        steps: dict[float, np.ndarray] = {}
+        plans: dict[float, tuple[int, np.ndarray]] = {}
         for pdf in batches:
             for k, g in pdf.groupby(keys, sort=False, dropna=False):
                 k = k if isinstance(k, tuple) else (k,)
                 rt = float(g["_rate"].iloc[0])
-                cuts = steps.setdefault(rt, _poisson_steps(rt))
+                if rt not in plans:
+                    plans[rt] = poisson_plan(rt)
                 ids = g["_id"].to_numpy().view(np.uint64)
                 vals = np.column_stack([np.ones(len(g))] + [g[v].to_numpy() for v in values])
                 tot = acc.setdefault(k, np.zeros((replicates, len(values) + 1)))
                 for a in range(0, len(g), CHUNK):
-                    u = _uniform(ids[a : a + CHUNK], reps)
-                    w = np.zeros(u.shape)
-                    for c in cuts:
-                        hit = u > c
-                        if not hit.any():
-                            break
-                        w += hit
+                    w = poisson_draws(ids[a : a + CHUNK], reps, plans[rt])
                     tot += w.T @ vals[a : a + CHUNK]
+            if len(acc) * replicates * (len(values) + 1) * 8 > HELD_BYTES:
+                yield from flush(acc)
+                acc.clear()
+        yield from flush(acc)
+
+    def flush(acc: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
         for k, tot in acc.items():
             frame = {name: [v] * replicates for name, v in zip(keys, k)}
             frame["rep"] = np.arange(1, replicates + 1, dtype=np.int32)
@@ -234,7 +258,7 @@ def boot_diff_ci(
 
 
 def block_sums(
-    series: DataFrame, keys: Sequence[str], values: Sequence[str], size: int | None
+    series: DataFrame, keys: Sequence[str], values: Sequence[str], size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Sums over every run of ``L`` consecutive entries that stays inside one run.
 
@@ -242,7 +266,7 @@ def block_sums(
     earlier through an equi-join.
     """
     part = [*keys, "run"]
-    ordered = dense_index(series, part, ["pos", "i"], F.floor(F.col("pos") / 100.0), "_e", size)
+    ordered = dense_index(series, part, ["pos", "i"], "_e")
     pre = fills(ordered, part, ["_e"], sums={f"_p_{v}": F.col(v) for v in values}, idx="_e", size=size)
     end = pre.select(*part, "i", "L", (F.col("_e") - F.col("L")).alias("_from"), *[f"_p_{v}" for v in values])
     start = pre.select(*part, F.col("_e").alias("_from"), *[F.col(f"_p_{v}").alias(f"_b_{v}") for v in values])
@@ -266,7 +290,7 @@ def _block_reps(series, keys, values, replicates, seed, size):
 
 def block_ci(
     series: DataFrame, keys: Sequence[str], stat: str = "mean", replicates: int = 2000, seed: int = 42,
-    size: int | None = None,
+    size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Moving-block interval of the mean or RMS of ``v``; NULL bounds below eight blocks.
 
@@ -286,7 +310,7 @@ def block_ci(
 
 
 def paired_block_ci(
-    series: DataFrame, keys: Sequence[str], replicates: int = 2000, seed: int = 42, size: int | None = None
+    series: DataFrame, keys: Sequence[str], replicates: int = 2000, seed: int = 42, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Moving-block interval of RMS(a) - RMS(b) with both sides drawn together."""
     keys = list(keys)

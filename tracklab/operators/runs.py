@@ -21,7 +21,7 @@ from tracklab.session import cut_lineage
 
 
 def detect_runs(
-    df: DataFrame, keys: Sequence[str], pred: Column, min_travel: float, size: int | None = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], pred: Column, min_travel: float, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Maximal stretches of ``pred`` whose end-to-start change in ``y`` exceeds ``min_travel``.
 
@@ -43,20 +43,20 @@ def detect_runs(
         )
         .where(F.abs(F.col("y_last") - F.col("y_first")) > min_travel)
     )
-    medians = quantile_columns(marked, [*keys, "run_start"], "x", {"x_median": 0.5}, size)
+    medians = quantile_columns(marked, [*keys, "run_start"], "x", {"x_median": 0.5})
     runs = runs.join(medians, [*keys, "run_start"])
-    return dense_index(runs, keys, ["a"], F.floor(F.col("a") / (size or 1)), "pass_id", size)
+    return dense_index(runs, keys, ["a"], "pass_id")
 
 
 def chain_cluster(
-    runs: DataFrame, keys: Sequence[str], gap: float = P.CORRIDOR_GAP_M, size: int | None = SEGMENT_ROWS, width: float = 1000.0
+    runs: DataFrame, keys: Sequence[str], gap: float = P.CORRIDOR_GAP_M, size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Cluster run medians along one axis and give every run its nearest cluster centre.
 
     A new cluster starts where the step to the previous member reaches ``gap``.
     """
     keys = list(keys)
-    ranked = dense_index(runs, keys, ["x_median", "pass_id"], F.floor(F.col("x_median") / width), "_rank", size)
+    ranked = dense_index(runs, keys, ["x_median", "pass_id"], "_rank")
     ranked = bounded(
         ranked,
         keys,
@@ -70,7 +70,7 @@ def chain_cluster(
     )
     centres = ranked.groupBy(*keys, "_cluster").agg(F.avg("x_median").alias("x_median"))
     centres = centres.withColumnRenamed("_cluster", "corridor")
-    placed = asof_nearest(runs, centres, keys, "x_median", ["corridor"], None if size is None else width)
+    placed = asof_nearest(runs, centres, keys, "x_median", ["corridor"])
     return placed.withColumnRenamed("x_median_right", "centre").drop("gap")
 
 
@@ -95,7 +95,7 @@ def eligibility(df: DataFrame) -> DataFrame:
     return out.withColumn("eligible", ~F.col("headland") & ~F.col("stationary") & ~F.col("contaminated"))
 
 
-def attach_runs(df: DataFrame, runs: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def attach_runs(df: DataFrame, runs: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """Give rows the run and corridor they fall in (-1 when in none)."""
     start = runs.select(*keys, F.col("a").alias("i"), F.struct("b", "pass_id", "corridor").alias("_run"))
     hit = df.join(start, [*keys, "i"], "left")
@@ -122,7 +122,7 @@ def scope(df: DataFrame, name: str) -> DataFrame:
     raise ValueError(f"unknown scope {name}")
 
 
-def flank_category(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def flank_category(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """Stationary, else turn when both neighbouring eligible rows share a corridor, else transition."""
     corr = F.when(F.col("eligible"), F.col("corridor"))
     out = fills(df, keys, ["i"], before={"_before": corr}, after={"_after": corr}, size=size, inclusive=False)
@@ -134,7 +134,7 @@ def flank_category(df: DataFrame, keys: Sequence[str], size: int | None = SEGMEN
     return out_of_scope(out).withColumn("category", cat).drop("_before", "_after")
 
 
-def run_phase(df: DataFrame, keys: Sequence[str], pred: Column, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def run_phase(df: DataFrame, keys: Sequence[str], pred: Column, size: int = SEGMENT_ROWS) -> DataFrame:
     """Centrality of each ``pred`` row inside its stretch of consecutive indices, and its phase."""
     keys = list(keys)
     marked = islands(df, keys, pred, "_s", size=size).where(F.col("_s").isNotNull())
@@ -152,15 +152,15 @@ def run_phase(df: DataFrame, keys: Sequence[str], pred: Column, size: int | None
 
 
 def fit_threshold(
-    df: DataFrame, keys: Sequence[str], value: str, prob: float, out: str, size: int | None = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, prob: float, out: str
 ) -> DataFrame:
     """Percentile of ``value`` over the eligible rows of each key."""
-    return quantile_columns(df.where("eligible"), keys, value, {out: prob}, size)
+    return quantile_columns(df.where("eligible"), keys, value, {out: prob})
 
 
-def state_gate(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_ROWS) -> DataFrame:
+def state_gate(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
     """Keep flag: moving, along the row, and turning less than the eligible p99 heading rate."""
-    limit = fit_threshold(df, keys, "heading_rate", 0.99, "turn_limit", size)
+    limit = fit_threshold(df, keys, "heading_rate", 0.99, "turn_limit")
     out = df.join(limit, list(keys), "left")
     keep = (
         (F.col("speed") > P.STATIONARY_BELOW_MS)
@@ -170,13 +170,13 @@ def state_gate(df: DataFrame, keys: Sequence[str], size: int | None = SEGMENT_RO
     return out.withColumn("keep", F.coalesce(keep, F.lit(False)))
 
 
-def build_manifest(series: DataFrame, min_travel: float, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def build_manifest(series: DataFrame, min_travel: float, size: int = SEGMENT_ROWS) -> DataFrame:
     """Series with poses to frame manifest: kinematics, runs, corridors and scope flags."""
     from tracklab.operators.kinematics import kinematics
 
     kin = cut_lineage(kinematics(series, ["rec"], size))
     runs = detect_runs(kin, ["rec"], F.abs("vy") > P.ALONG_ROW_ABOVE_MS, min_travel, size)
-    placed = chain_cluster(runs if size is None else cut_lineage(runs), ["rec"], size=size)
+    placed = chain_cluster(cut_lineage(runs), ["rec"], size=size)
     return eligibility(attach_runs(kin, placed, ["rec"], size))
 
 

@@ -27,7 +27,7 @@ def representative(rows: DataFrame, group: str, name: str) -> DataFrame:
 
 
 def stratified_split(
-    rows: DataFrame, group: str, stratum: str, seed: int = 42, size: int | None = SEGMENT_ROWS
+    rows: DataFrame, group: str, stratum: str, seed: int = 42
 ) -> DataFrame:
     """Assign whole groups to train/valid/test inside each stratum.
 
@@ -35,8 +35,7 @@ def stratified_split(
     """
     g = rows.select(group, stratum).distinct()
     g = g.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")).cast("binary")))
-    slot = F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint")
-    g = dense_index(g, [stratum], ["_h", group], slot, "_r", size)
+    g = dense_index(g, [stratum], ["_h", group], "_r")
     n = g.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     train, valid = F.bround(TRAIN_RATIO * F.col("_n"), 0), F.bround(VALID_RATIO * F.col("_n"), 0)
     g = g.join(n, stratum).withColumns({"_t": train, "_v": F.least(train + valid, F.col("_n"))})

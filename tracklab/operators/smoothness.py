@@ -18,7 +18,7 @@ COLUMNS = ("omega_cmd", "omega_cmd_ramp")
 CONTRAST_SEEDS = {"A": (), "B": (42, 43), "C": (43, 44)}
 
 
-def delta_views(cmds: DataFrame, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def delta_views(cmds: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     """Consecutive command pairs inside a pass, labelled by which of the two rows were fresh."""
 
     def pair(w):
@@ -73,15 +73,15 @@ def pair_composition(deltas: DataFrame) -> DataFrame:
     )
 
 
-def _spans(cmds: DataFrame, size: int | None) -> DataFrame:
+def _spans(cmds: DataFrame, size: int) -> DataFrame:
     """Held stretches along the whole model stream; stretches meeting at a pass boundary join."""
-    at = dense_index(cmds, MODEL, ["pass_id", "i"], F.col("pass_id"), "s", size)
+    at = dense_index(cmds, MODEL, ["pass_id", "i"], "s")
     held = islands(at, MODEL, ~F.col("fresh"), "span_start", idx="s", size=size)
     held = held.where(F.col("span_start").isNotNull())
     return held.groupBy(*MODEL, "span_start").agg(F.count(F.lit(1)).alias("length"), F.max("hold_run").alias("longest_run"))
 
 
-def stream_summary(cmds: DataFrame, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def stream_summary(cmds: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     """Fresh and held rows by reason, hold spans, saturation and limiter activity per model."""
     r = F.col("hold_reason")
     base = cmds.groupBy(*MODEL).agg(
@@ -103,10 +103,10 @@ def stream_summary(cmds: DataFrame, size: int | None = SEGMENT_ROWS) -> DataFram
     return base.join(sp, MODEL, "left").withColumns(zero)
 
 
-def hold_spans(cmds: DataFrame, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def hold_spans(cmds: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     """Length statistics of held stretches; median and p95 are cut to whole rows."""
     sp = _spans(cmds, size)
-    q = quantile_columns(sp, MODEL, "length", {"_p50": 0.5, "_p95": 0.95}, size)
+    q = quantile_columns(sp, MODEL, "length", {"_p50": 0.5, "_p95": 0.95})
     total = cmds.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("_rows"))
     g = sp.groupBy(*MODEL).agg(
         F.count(F.lit(1)).alias("n_spans"),
@@ -172,7 +172,7 @@ def seed_group_contrast(metrics: DataFrame, value: str) -> DataFrame:
     )
 
 
-def sensor_agreement(frames: DataFrame, size: int | None = SEGMENT_ROWS) -> DataFrame:
+def sensor_agreement(frames: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     """Agreement of two yaw-rate sources on moving rows, and the tails of each on eligible rows."""
     a, b = F.col("yaw_odom"), F.col("yaw_imu")
     mv = F.col("moving")
@@ -187,5 +187,5 @@ def sensor_agreement(frames: DataFrame, size: int | None = SEGMENT_ROWS) -> Data
     )
     for name, c in (("odom", a), ("imu", b)):
         ok = frames.where("eligible").withColumn("_v", F.degrees(F.abs(c)))
-        got = got.join(quantile_columns(ok, ["rec"], "_v", {f"{name}_p99": 0.99}, size), "rec")
+        got = got.join(quantile_columns(ok, ["rec"], "_v", {f"{name}_p99": 0.99}), "rec")
     return got

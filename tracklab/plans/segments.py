@@ -1,24 +1,21 @@
 """Window work on long keyed series without putting a whole key into one task.
 
-A plain ``Window.partitionBy(rec)`` sorts one recording in one task.  That is the best plan while
-every key is known to be small and breaks down when one key holds a large share of all rows.
-``choose_size`` counts rows per key once; its result is passed on as ``size``:
-
-* ``None``: every key was counted and fits a task, so plain windows are used;
-* a number: series are cut into index segments of that many rows and work runs per (key, segment).
-
-Segmented forms:
+A plain ``Window.partitionBy(rec)`` sorts one recording in one task, which breaks down when one key holds a large share of
+all rows. Here series are always cut into segments and work runs per (key, segment); a short key is one segment. There is
+one plan for every size.
 
 * ``bounded``    - frames of bounded reach (lag/lead, +-n rows): edge rows are copied to neighbours;
 * ``fills``      - unbounded prefix sums and last/next known values: per-segment summaries, a pass
   over those (one row per key and segment), then local windows;
-* ``dense_index`` - 0-based position within a key, from per-bucket counts.
+* ``dense_index`` - 0-based position within a key, from counts per segment.
 
-A segmented fill reads its input twice, so the input is checkpointed first; plans stay linear.
+Segments are stretches of ``SEGMENT_ROWS`` values of a dense index or, where there is none, the parts of a range partitioning
+by key and order, so that no bucket width has to fit the data. Both are read more than once and checkpointed first.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -26,15 +23,17 @@ from pyspark.sql import functions as F
 
 from tracklab.session import cut_lineage
 
-SEGMENT_ROWS = 500_000
+#: Rows of a segment; tests set it so low that the smallest keys are cut.
+SEGMENT_ROWS = int(os.environ.get("TRACKLAB_SEGMENT_ROWS", "4096"))
 SEG = "_seg"
 CORE = "_core"
 
 
-def choose_size(df: DataFrame, keys: Sequence[str], limit: int = SEGMENT_ROWS) -> int | None:
-    """Segment size for ``df``: ``None`` when the largest key is counted to be within ``limit``."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return None if (top or 0) <= limit else limit
+def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add a segment that does not decrease along ``order`` within a key: the part of a range partitioning, made fixed by a checkpoint."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order) if parts > 1 else df.coalesce(1)
+    return cut_lineage(ranged.withColumn(SEG, F.spark_partition_id().cast("bigint")))
 
 
 def segment_of(idx: str, size: int = SEGMENT_ROWS) -> Column:
@@ -49,34 +48,25 @@ def seg_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, SEG).orderBy(*order)
 
 
-def dense_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    out: str = "i",
-    size: int | None = SEGMENT_ROWS,
-) -> DataFrame:
-    """Add the 0-based rank of each row within its key.
-
-    ``bucket`` must not decrease along ``order``; rows are ranked inside (key, bucket) and shifted
-    by the number of rows in earlier buckets.
-    """
-    if size is None:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, (rank - 1).cast("bigint"))
-    b = cut_lineage(df.withColumn("_bucket", bucket))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "i") -> DataFrame:
+    """Add the 0-based rank of each row within its key: its rank in its segment after the rows of earlier segments."""
+    cut = by_range(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    skip = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip")
     sizes = (
-        b.groupBy(*keys, "_bucket")
+        cut.groupBy(*keys, SEG)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(SEG).alias("_k_seg"), skip)
     )
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    local = F.row_number().over(seg_window(keys, order))
+    same = F.col(SEG) == F.col("_k_seg")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        b.join(sizes, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_skip") + local - 1).cast("bigint"))
-        .drop("_bucket", "_skip")
+        cut.withColumn(out, local)
+        .join(sizes, same)
+        .withColumn(out, (F.col("_skip") + F.col(out) - 1).cast("bigint"))
+        .drop(SEG, "_k_seg", "_skip", *[f"_k_{k}" for k in keys])
     )
 
 
@@ -113,14 +103,9 @@ def bounded(
     reach: int,
     steps: Sequence[Callable[[WindowSpec], dict[str, Column]]],
     idx: str = "i",
-    size: int | None = SEGMENT_ROWS,
+    size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Apply successive window steps whose combined reach is at most ``reach`` rows each way."""
-    if size is None:
-        w = Window.partitionBy(*keys).orderBy(idx)
-        for step in steps:
-            df = df.withColumns(step(w))
-        return df
     out = halo(df, reach, reach, idx, max(size, 2 * reach + 1))
     w = seg_window(keys, [idx])
     for step in steps:
@@ -135,18 +120,19 @@ def fills(
     sums: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
-    idx: str = "i",
-    size: float | None = SEGMENT_ROWS,
+    idx: str | None = "i",
+    size: int = SEGMENT_ROWS,
     inclusive: bool = True,
 ) -> DataFrame:
     """Unbounded per-key columns along ``order``.
 
     ``sums``: inclusive prefix sums.  ``before``/``after``: latest/earliest non-null value at or before/
-    after each row (strictly so unless ``inclusive``).  ``size`` is the extent of ``idx`` per segment.
+    after each row (strictly so unless ``inclusive``).  ``size`` is the extent of the dense ``idx`` per segment; with ``idx``
+    ``None`` the series is cut by range.
     """
     sums, before, after = sums or {}, before or {}, after or {}
     near = 0 if inclusive else 1
-    part = [*keys] if size is None else [*keys, SEG]
+    part = [*keys, SEG]
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     back = w.rowsBetween(Window.unboundedPreceding, -near)
@@ -156,9 +142,7 @@ def fills(
         **{k: F.last(v, ignorenulls=True).over(back) for k, v in before.items()},
         **{k: F.first(v, ignorenulls=True).over(ahead) for k, v in after.items()},
     }
-    if size is None:
-        return df.withColumns(local)
-    s = cut_lineage(with_segment(df, idx, size))
+    s = by_range(df, keys, order) if idx is None else cut_lineage(with_segment(df, idx, size))
     rank = F.struct(*[F.col(c) for c in order])
     edges = s.groupBy(*keys, SEG).agg(
         *[F.sum(v).alias(f"_e_{k}") for k, v in sums.items()],
@@ -188,7 +172,7 @@ def islands(
     pred: Column,
     out: str = "run_start",
     idx: str = "i",
-    size: int | None = SEGMENT_ROWS,
+    size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Label maximal stretches of consecutive rows with ``pred`` true by the index they start at.
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklab.plans.segments import choose_size, dense_index
+from tracklab.plans.segments import SEGMENT_ROWS, dense_index
 
-DAY_US = 86_400_000_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,16 +28,12 @@ def events(spark, sf) -> DataFrame:
     )
 
 
-def series_size(spark, sf) -> int | None:
-    return choose_size(table(spark, sf, "events").select(F.col("user_id").alias("rec")), ["rec"])
-
-
-def series(spark, sf, size: int | None) -> DataFrame:
+def series(spark, sf) -> DataFrame:
     """Pose-like series per recording: dense ``i``, time, planar position, contamination mark.
 
     The robot goes up and down the rows in stretches of 12 frames and rests every fourth stretch.
     """
-    e = dense_index(events(spark, sf), ["rec"], ["us", "event_id"], F.floor(F.col("us") / DAY_US), size=size)
+    e = dense_index(events(spark, sf), ["rec"], ["us", "event_id"])
     u = F.col("i") % 48
     climb = F.when(u < 12, u).when(u < 24, 24 - u).when(u < 36, u - 24).otherwise(12)
     level = F.when(F.expr("(i div 48) % 2") == 0, climb).otherwise(12 - climb)

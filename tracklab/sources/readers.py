@@ -61,7 +61,7 @@ def join_annotations(images: DataFrame, annotations: DataFrame, on: Sequence[str
 
 
 def merge_sources(
-    parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], session: str, bucket: Column, size: int | None = SEGMENT_ROWS
+    parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], session: str
 ) -> DataFrame:
     """Consecutive files of one session as one ordered series; files of different sessions are refused."""
     out = parts[0]
@@ -70,7 +70,7 @@ def merge_sources(
     span = out.groupBy(*keys).agg(F.min(session).alias("_a"), F.max(session).alias("_b"))
     fail = F.raise_error(F.lit("files belong to different sessions")).cast("boolean")
     span = span.where(F.when(F.col("_a") == F.col("_b"), F.lit(True)).otherwise(fail)).select(*keys)
-    return dense_index(out.join(span, list(keys)), keys, order, bucket, "i", size)
+    return dense_index(out.join(span, list(keys)), keys, order)
 
 
 def topic(messages: DataFrame, name: str, column: str = "topic") -> DataFrame:
