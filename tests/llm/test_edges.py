@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.odd_tables import no_docs, odd_docs  # noqa: F401
 from tests.llm.test_exact import plain_components, plain_fingerprint, plain_hits, plain_spans
 from tracklab.llm import common, decontaminate, language, merkle, mixing, preference, quality, secrets, simhash, token_output, toxicity
 

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from tests.llm.odd_tables import no_docs, odd_docs  # noqa: F401
 from tests.llm.test_exact import plain_components, plain_fingerprint, plain_hits, plain_mix
 from tracklab.llm import common, toxicity
 

@@ -42,7 +42,6 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((F.col("hits.n_hit") > 0) & (20 * F.col("hits.n_hit") >= F.col("hits.n_words"))).alias("contaminated"),
-        F.col("hits.longest").alias("longest_passage"),
     )
 
 
