@@ -12,6 +12,7 @@ next to each other; an empty table gives empty ``code`` and ``blocks``; other co
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 from tracklab.llm.common import new_path, ordered_bucket, quantile_bounds, shuffle_width, written
 
 CHECKPOINT = 512
-BLOCK_TOKENS = 1 << 20
-COUNT_TASKS = 1024
+BLOCK_TOKENS = 1 << 18
+COUNT_TASKS = 64
 MAX_BITS = 16
-#: Entries of a worker's memo of encoded pieces; it is emptied when full.
-MEMO_ENTRIES = 1_000_000
+#: Entries of a worker's memos of encoded pieces: those met again, and those met once so far. A memo is emptied when full.
+MEMO_ENTRIES = 200_000
+NEW_ENTRIES = 100_000
+#: Documents that are encoded between two results, so that a task never holds the ids of many long texts.
+DOCS_AT_ONCE = 512
 #: ASCII marks that the byte-level pattern always splits from a letter before them (the apostrophe is not one).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -45,62 +49,77 @@ class PieceEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.byte_letters = _byte_letters()
+        self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        #: Ids of a word with the blank before it, or of a line end and the word after it; words met once wait in ``new``.
         self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        #: Ids of trailing marks.
+        self.tails: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, core: str) -> bytes:
-        """Ids of a word, with the blank before it if any; a word of letters only is one unit of the vocabulary's merges."""
-        if core.lstrip(" ").isalpha():
-            units = self.whole.model.tokenize(core.encode().decode("latin-1").translate(self.letters))
-            return np.array([u.id for u in units], np.uint32).tobytes()
-        return self._plain(core)
+    def _letters(self, word: str, blank: bool) -> bytes:
+        """Ids of a word of letters only, which is one unit of the vocabulary's merges."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_letters)
+        units = self.whole.model.tokenize(self.byte_letters[0x20] + shown if blank else shown)
+        return array(self.code, [u.id for u in units]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, blank: bool = True) -> bytes:
         if piece[0] == "\n":
-            return self._word(piece[:1]) + self._word(piece[1:])
-        return self._word(" " + piece)
-
-    def _word(self, piece: str) -> bytes:
+            return self._tail("\n") + self._piece(piece[1:], False)
         core = piece.rstrip(MARKS)
-        if not core or not core[-1].isalnum():
-            return self._plain(piece)
-        ids = self.cores.get(core)
+        if not core.isalpha():
+            if not core or not core[-1].isalnum():
+                return self._plain(" " + piece if blank else piece)
+            ids = self._plain(" " + core if blank else core)
+        elif len(core) == len(piece) or not blank:
+            ids = self._letters(core, blank)
+        else:
+            ids = self._remember(core)
+        return ids + self._tail(piece[len(core) :]) if len(core) < len(piece) else ids
+
+    def _remember(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the memo; met for the second time, it goes there."""
+        ids = self.new.pop(piece, None)
+        if ids is not None:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+            self.memo[piece] = ids
+            return ids
+        ids = self._piece(piece)
+        if len(self.new) >= NEW_ENTRIES:
+            self.new.clear()
+        self.new[piece] = ids
+        return ids
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
         if ids is None:
-            ids = self.cores[core] = self._core(core)
-        if len(core) < len(piece):
-            tail = piece[len(core) :]
-            end = self.memo.get("\x00" + tail)
-            if end is None:
-                end = self.memo["\x00" + tail] = self._plain(tail)
-            ids = ids + end
+            if len(self.tails) >= NEW_ENTRIES:
+                self.tails.clear()
+            ids = self.tails[marks] = self._plain(marks)
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as unsigned numbers of 16 bits, or 32 for a vocabulary of more than 65,536 ids."""
         if not text:
             return b""
         if any(s in text for s in self.special) or len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return self._plain(text)
         pieces = text.replace("\n", " \n").split(" ")
-        first = pieces[0]
         memo = self.memo
         found = list(map(memo.get, pieces))
-        found[0] = self._plain(first)
-        if None in found:
-            if len(memo) + len(self.cores) > MEMO_ENTRIES:
-                memo.clear()
-                self.cores.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[k]
-                    ids = memo.get(piece)
-                    if ids is None:
-                        ids = memo[piece] = self._piece(piece)
-                    found[k] = ids
+        found[0] = self._piece(pieces[0], False)
+        found.append(None)
+        k = found.index(None)
+        while k < len(pieces):
+            piece = pieces[k]
+            ids = memo.get(piece)
+            found[k] = self._remember(piece) if ids is None else ids
+            k = found.index(None, k + 1)
+        found.pop()
         return b"".join(found)
 
 
@@ -118,37 +137,49 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def id_type(vocabulary: str) -> np.dtype:
+    return np.dtype(encoder(vocabulary).code)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each text's ids with the end id appended, as little-endian unsigned 32-bit numbers."""
-    end = np.array([end_id], np.uint32).tobytes()
+    """(doc_id, ids, counts): a row for each document with its ids and the end id, and a last row for each task with the
+    number of times that it has written each id. The other of ``ids`` and ``counts`` is null."""
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
+        end, kind = array(own.code, [end_id]).tobytes(), np.dtype(own.code)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = [own.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(lo, DOCS_AT_ONCE)
+                ids = [own.encode(t.as_py() or "") + end for t in part.column(1)]
+                seen = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=total.size)
+                seen[: total.size] += total
+                total = seen
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if total.size:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
-    """(id, n) over all documents. Tasks add up before the shuffle, so it carries at most the vocabulary per task."""
+    """(id, n) over all documents, from the tasks' own counts. They are added up in a bounded number of tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
-            if flat.size:
-                part = np.bincount(flat)
-                if part.size > total.size:
-                    part[: total.size] += total
-                    total = part
-                else:
-                    total[: part.size] += part
+            for x in batch.column(0):
+                seen = np.frombuffer(x.as_py(), np.int64)
+                short, long = sorted((seen, total), key=len)
+                total = long.copy()
+                total[: short.size] += short
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return encoded.select("ids").coalesce(COUNT_TASKS).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    own = encoded.where("counts is not null").select("counts").coalesce(COUNT_TASKS)
+    return own.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -214,29 +245,25 @@ def pack(flat: np.ndarray, sizes: np.ndarray, code: np.ndarray, length: np.ndarr
     return total[: first[-1]].astype(">u4").tobytes(), first, at, starts
 
 
-def pack_documents(encoded: DataFrame, own: Code) -> DataFrame:
+def pack_documents(encoded: DataFrame, own: Code, kind: np.dtype) -> DataFrame:
     """(doc_id, n_tokens, marks, bits): each document's bits and the bit offset of every ``CHECKPOINT`` tokens."""
     code, length = own.encode_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lo = batch.column(1).to_pylist(), 0
-            while lo < len(ids):
-                hi, held = lo, 0
-                while hi < len(ids) and (hi == lo or held + len(ids[hi]) <= 16 << 20):
-                    held += len(ids[hi])
-                    hi += 1
-                sizes = np.array([len(x) // 4 for x in ids[lo:hi]], np.int64)
-                data, first, at, starts = pack(np.frombuffer(b"".join(ids[lo:hi]), np.uint32), sizes, code, length)
+            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(lo, DOCS_AT_ONCE)
+                ids = part.column(1).to_pylist()
+                sizes = np.array([len(x) // kind.itemsize for x in ids], np.int64)
+                data, first, at, starts = pack(np.frombuffer(b"".join(ids), kind), sizes, code, length)
                 marks = [(at[a:b:CHECKPOINT] - 32 * w).tolist() for a, b, w in zip(starts[:-1], starts[1:], first)]
                 bits = [data[4 * a : 4 * b] for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     names=["doc_id", "n_tokens", "marks", "bits"],
                 )
-                lo = hi
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, marks array<long>, bits binary")
+    return encoded.where("ids is not null").select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, marks array<long>, bits binary")
 
 
 BLOCKS = "shard int, block int, before long, doc_ids array<long>, n_tokens array<long>, marks array<long>, bits binary"
@@ -288,8 +315,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     lengths = code_lengths(counts[:, 1], limit)
     table = pa.table({"id": pa.array(counts[:, 0], pa.int64()), "length": pa.array(lengths, pa.int64())})
     spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/code")
-    packed = pack_documents(encoded, Code(counts[:, 0], lengths))
-    gather_blocks(packed, quantile_bounds(encoded, "doc_id", 2 * shuffle_width(spark))).write.option("compression", "none").parquet(f"{path}/blocks")
+    packed = pack_documents(encoded, Code(counts[:, 0], lengths), id_type(vocabulary))
+    gather_blocks(packed, quantile_bounds(encoded.where("ids is not null"), "doc_id", 2 * shuffle_width(spark))).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def unpack(data: np.ndarray, at: np.ndarray, size: np.ndarray, table: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
@@ -311,32 +338,38 @@ def unpack(data: np.ndarray, at: np.ndarray, size: np.ndarray, table: tuple[np.n
     return out
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) decoded from the files; ``start`` counts the ids of all documents before."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) decoded from the files; ``start`` counts the ids of all documents before.
+
+    Ids are little-endian unsigned 32-bit numbers; with ``digest`` their crc32 is returned instead, as ``ids_crc32``.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     code = spark.read.parquet(f"{path}/code").collect()
     own = Code(np.array([r.id for r in code], np.int64), np.array([r.length for r in code], np.int64))
     if own.bits > 25:
         raise ValueError("codes of more than 25 bits")
+    last = "ids_crc32" if digest else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = own.decode_tables()
         for batch in batches:
-            for shard, before, doc_ids, sizes, marks, bits in zip(*[c.to_pylist() for c in batch.columns]):
+            for k in range(batch.num_rows):
+                shard, before, doc_ids, sizes, marks, bits = (c[k].as_py() for c in batch.columns)
                 n = np.array(sizes, np.int64)
                 per = -(-n // CHECKPOINT)
-                last = np.cumsum(per) - 1
                 size = np.full(int(per.sum()), CHECKPOINT, np.int64)
-                size[last] = n - CHECKPOINT * (per - 1)
-                flat = unpack(np.frombuffer(bits + b"\0\0\0\0", np.uint8), np.array(marks, np.int64), size, table, own.bits)
+                size[np.cumsum(per) - 1] = n - CHECKPOINT * (per - 1)
+                flat = unpack(np.frombuffer(bits + b"\0\0\0\0", np.uint8), np.array(marks, np.int64), size, table, own.bits).astype("<u4")
                 ends = np.cumsum(n)
-                ids = [flat[b - k : b].tobytes() for b, k in zip(ends, n)]
+                parts = (flat[b - m : b] for b, m in zip(ends, n))
+                made = pa.array([zlib.crc32(x) for x in parts], pa.int64()) if digest else pa.array([x.tobytes() for x in parts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(sizes), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before + ends - n, pa.int64()), pa.array(n), pa.array(ids, pa.binary())],
-                    names=["shard", "doc_id", "within", "n_tokens", "ids"],
+                    [pa.array([shard] * len(sizes), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before + ends - n, pa.int64()), pa.array(n), made],
+                    names=["shard", "doc_id", "within", "n_tokens", last],
                 )
 
-    decoded = blocks.select("shard", "before", "doc_ids", "n_tokens", "marks", "bits").mapInArrow(run, "shard int, doc_id long, within long, n_tokens long, ids binary")
+    schema = f"shard int, doc_id long, within long, n_tokens long, {last} {'long' if digest else 'binary'}"
+    decoded = blocks.select("shard", "before", "doc_ids", "n_tokens", "marks", "bits").mapInArrow(run, schema)
     # One total per shard: the shards are a fixed multiple of the shuffle partitions, so this stays on the driver's side.
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")).orderBy("shard").collect()
     offsets, run_total = {}, 0
@@ -344,7 +377,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         offsets[r.shard] = run_total
         run_total += r.n
     rows = spark.createDataFrame(pa.table({"shard": pa.array(list(offsets), pa.int32()), "offset": pa.array(list(offsets.values()), pa.int64())}))
-    return decoded.join(F.broadcast(rows), "shard").select("doc_id", (F.col("within") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return decoded.join(F.broadcast(rows), "shard").select("doc_id", (F.col("within") + F.col("offset")).alias("start"), "n_tokens", last)
 
 
 def token_digest(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None = None) -> DataFrame:
@@ -352,5 +385,4 @@ def token_digest(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str |
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, vocabulary, end_id)
-    got = read_tokens(spark, path)
-    return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, digest=True)
