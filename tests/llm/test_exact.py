@@ -167,6 +167,24 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
         assert np.frombuffer(own.encode(text), own.code).tolist() == want
 
 
+@pytest.mark.parametrize("text", ["a\tb\n", " a\tb", "a b\tc", "10\u00a0km away\n", "a \tb", "\n", " ", "a\x85b\n\nc\u3000d", "x\r\ny "])
+def test_white_space_of_two_kinds_in_one_text(text):
+    test_pieces_give_the_ids_of_the_whole_text(text)
+
+
+def test_random_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own, rng = Tokenizer.from_file(path), token_output.encoder(path), np.random.default_rng(6)
+    texts = ["".join(rng.choice([" ", "\n", "\t", "\u00a0", "a", "b1", "É,", "'s", "."], rng.integers(1, 9), p=[0.2, 0.1, 0.05, 0.05, 0.2, 0.1, 0.1, 0.1, 0.1])) for _ in range(3000)]
+    got = token_output.token_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {
+        k: zlib.crc32(np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in enumerate(texts)
+    }
+    assert all(np.frombuffer(own.encode(t), own.code).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 @pytest.mark.parametrize("n,limit", [(1, 16), (2, 16), (3, 2), (40, 6), (700, 12)])
 def test_code_is_complete_limited_and_decodes(n, limit):
     rng = np.random.default_rng(n)

@@ -11,6 +11,7 @@ next to each other; an empty table gives empty ``code`` and ``blocks``; other co
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ NEW_ENTRIES = 100_000
 DOCS_AT_ONCE = 512
 #: ASCII marks that the byte-level pattern always splits from a letter before them (the apostrophe is not one).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space that pieces cannot be cut at: two in a row, or any but blanks and line ends.
+DOUBLED = ("  ", " \n", "\n ", "\n\n")
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -41,7 +45,8 @@ class PieceEncoder:
     """Whole-text encoding by the tokenizers library, remembering the ids of pieces between single blanks.
 
     A byte-level vocabulary never joins text across a single blank or line end between two words, so the ids of a text
-    are the ids of its pieces in order. A text with other white space or a special token is encoded as a whole.
+    are the ids of its pieces in order. A text with a special token, or with white space that is not a single blank or
+    line end between two words, is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -106,7 +111,7 @@ class PieceEncoder:
         """Ids as unsigned numbers of 16 bits, or 32 for a vocabulary of more than 65,536 ids."""
         if not text:
             return b""
-        if any(s in text for s in self.special) or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in (*self.special, *DOUBLED)) or OTHER_SPACE.search(text):
             return self._plain(text)
         pieces = text.replace("\n", " \n").split(" ")
         memo = self.memo
