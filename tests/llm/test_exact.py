@@ -306,6 +306,43 @@ def test_secret_linking(spark, tmp_path):
     assert "bare" in got[0].spans and got[1].spans == "" and got[2].spans == "" and "bare" in got[3].spans and "endpoint" in got[5].spans
 
 
+def test_secrets_with_long_parts(spark, tmp_path):
+    bare, token, name, tail = "aB3" * 100, "t0K" * 80, "n" * 100, "p" * 400
+    gap = lambda n: "." * (n - 2)
+    cases = [
+        (f"user=deploy token={token} https://host", [("ident", 0, 11), ("assign", 12, 258), ("bare", 12, 258), ("endpoint", 259, 271)]),
+        (f"user=deploy {bare} https://host", [("ident", 0, 11), ("bare", 12, 312), ("endpoint", 313, 325)]),
+        (f"user={name} token=abcdefg https://{tail}", [("ident", 0, 105), ("assign", 106, 119), ("endpoint", 120, 528)]),
+        (f"token=abcdefg login=bob host={tail}", [("assign", 0, 13), ("ident", 14, 23), ("endpoint", 24, 429)]),
+        (f"user=bob host={tail} {gap(200)} {bare[:30]}", [("endpoint", 9, 414)]),
+        (f"user=bob host={tail} {gap(201)} {bare[:30]}", []),
+        (f"AKIA{'Q' * 300} {gap(200)} {bare[:30]}", [("access", 0, 304), ("bare", 504, 534)]),
+        (f"AKIA{'Q' * 300} {gap(201)} {bare[:30]}", [("access", 0, 304)]),
+        (f"{bare} {gap(200)} AKIA{'Q' * 16}", [("bare", 0, 300), ("access", 500, 520)]),
+        (f"{bare} {gap(201)} AKIA{'Q' * 16}", [("access", 501, 521)]),
+    ]
+    spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op7_secret_scan(spark, str(tmp_path)))
+    for k, (_, spans) in enumerate(cases):
+        assert got[k].spans == ",".join(":".join(map(str, s)) for s in spans), (k, got[k].spans)
+
+
+def test_linking_of_random_parts(spark):
+    rng, reach = np.random.default_rng(7), 20
+    kind = {k: n for n, k in enumerate(secrets.KINDS)}
+    parts = {(int(key), int(start), int(rank), int(start + size)) for key, start, rank, size in zip(rng.integers(0, 150, 900), rng.integers(0, 300, 900), rng.integers(0, 6, 900), rng.choice([1, 5, 60, 150], 900))}
+    close = {s: [o for o in parts if o[0] == s[0] and o[1] <= s[3] + reach and o[3] >= s[1] - reach] for s in parts}
+    near = lambda s, *kinds: any(o[2] in [kind[k] for k in kinds] for o in close[s])
+    whole = {s for s in parts if s[2] in (kind["assign"], kind["bare"], kind["hex"]) and near(s, "ident", "access") and near(s, "endpoint")}
+    want = set()
+    for s in parts:
+        secret, who, where = near(s, "assign", "bare", "hex"), near(s, "ident", "access"), near(s, "endpoint")
+        if {kind["bare"]: near(s, "access") or who and where, kind["ident"]: secret and where or whole & {*close[s]}, kind["endpoint"]: secret and who or whole & {*close[s]}}.get(s[2]):
+            want.add(s)
+    got = secrets.linked(spark.createDataFrame(sorted(parts), "key int, start int, rank int, end int"), reach).collect()
+    assert 0 < len(want) < len(parts) and sorted(tuple(r) for r in got) == sorted(want)
+
+
 def plain_mix(rows, entropy, repeats, budget=None):
     """copies per id from (id, source, text)."""
     size = lambda t: len(re.findall("[^ \t\n\x0b\f\r]+", t or "")) + 1

@@ -2,12 +2,15 @@
 
 Base findings are exact: assignments to secret names, access keys, long hex runs. The linking adds weak candidates that
 prove nothing alone: identifiers (``user=``, ``login=``, ``client_id=`` and the like), bare random-looking strings, and
-endpoints (URLs, ``host=``). Every part opens a scope of ``REACH`` characters around it. A weak part is reported only where
-scopes hold complementary parts: a bare string needs an identifier and an endpoint near it, or an access key; an identifier
-or endpoint needs a secret (assignment or reported bare string's candidate) and the other of the two.
+endpoints (URLs, ``host=``). Every part opens a scope from ``REACH`` characters before its start to ``REACH`` after its end,
+however long it is; two parts are near if one reaches into the other's scope. A weak part is reported only where scopes
+hold complementary parts: a bare string needs an identifier and an endpoint near it, or an access key; an identifier
+or endpoint needs a secret (assignment or reported bare string's candidate) and the other of the two, either in its own
+scope, or both it and the other in the scope of one secret.
 
-Positions come from the gaps between matches, so no text is walked by hand. Parts are joined by range frames over their
-positions within a document: work follows the parts in reach, and rows with a third of all documents share no key.
+Positions come from the gaps between matches, so no text is walked by hand. Parts are joined by running counts over their
+starts and ends within a document: those that start before a scope's end, less those that end before its start. Work
+follows the parts, whatever the number in reach, and rows with a third of all documents share no key.
 
 Defined results: a null or empty text has no findings; equal texts have equal findings, and repeated rows keep their own
 row; overlapping findings of different kinds all stay; a document without weak parts never leaves its task; other columns
@@ -25,10 +28,10 @@ REACH = 200
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-IDENT = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}"""
-ENDPOINT = r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s"'<>]{3,256}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,256})"""
-#: A bare string of 20 to 128 characters with a digit, an upper and a lower letter.
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
+IDENT = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+ENDPOINT = r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,})"""
+#: A bare string of 20 or more characters with a digit, an upper and a lower letter.
+BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 #: In the order of the joined lists.
 KINDS = ("assign", "access", "hex", "ident", "bare", "endpoint")
 LEAST_VALUE = 6
@@ -78,16 +81,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
+def in_reach(parts: DataFrame, sides: dict[str, Column], reach: int) -> DataFrame:
+    """Append a flag for each side: whether a part for which it holds is within ``reach`` of the row's own span."""
+    own, at, opens = parts.columns, free_name(parts, "at"), free_name(parts, "opens")
+    ends = F.array(*[F.struct(F.col(c).alias("at"), F.lit(c == "start").alias("opens")) for c in ("start", "end")])
+    events = parts.select(*own, F.inline(ends).alias(at, opens))
+    by = Window.partitionBy("key").orderBy(at)
+    # Read at a part's end: parts that start up to the end of its scope. Read at its start: parts that end before its scope.
+    started, ended = by.rangeBetween(Window.unboundedPreceding, reach), by.rangeBetween(Window.unboundedPreceding, -reach - 1)
+    count = lambda side: F.when(F.col(opens), -F.count_if(side & ~F.col(opens)).over(ended)).otherwise(F.count_if(side & F.col(opens)).over(started))
+    counted = events.select(*own, *[count(side).alias(name) for name, side in sides.items()])
+    return counted.groupBy(*own).agg(*[(F.sum(name) > 0).alias(name) for name in sides])
+
+
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """From (key, start, rank, end) of all parts: the weak ones with complementary parts in reach."""
-    near = Window.partitionBy("key").orderBy("start").rangeBetween(-reach, reach)
-    has = lambda *kinds: F.max(F.col("rank").isin([KINDS.index(k) for k in kinds])).over(near)
-    flags = parts.select(
-        "key", "start", "rank", "end", has("access").alias("access"), has("assign", "bare", "hex").alias("secret"), has("ident", "access").alias("who"), has("endpoint").alias("where")
-    )
-    kind = lambda k: F.col("rank") == KINDS.index(k)
-    keep = (kind("bare") & (F.col("access") | (F.col("who") & F.col("where")))) | (kind("ident") & F.col("secret") & F.col("where")) | (kind("endpoint") & F.col("secret") & F.col("who"))
-    return flags.where(keep).select("key", "start", "rank", "end")
+    is_one = lambda *kinds: F.col("rank").isin([KINDS.index(k) for k in kinds])
+    secret = is_one("assign", "bare", "hex")
+    flags = in_reach(parts, {"access": is_one("access"), "secret": secret, "who": is_one("ident", "access"), "where": is_one("endpoint")}, reach)
+    flags = in_reach(flags, {"whole": secret & F.col("who") & F.col("where")}, reach)
+    bare = is_one("bare") & (F.col("access") | (F.col("who") & F.col("where")))
+    ident = is_one("ident") & (F.col("whole") | (F.col("secret") & F.col("where")))
+    endpoint = is_one("endpoint") & (F.col("whole") | (F.col("secret") & F.col("who")))
+    return flags.where(bare | ident | endpoint).select("key", "start", "rank", "end")
 
 
 def scan(docs: DataFrame, name: str = "secrets", text_col: str = "text", reach: int = REACH) -> DataFrame:
