@@ -9,7 +9,8 @@ Words of no item put the automaton back to its start, so only runs of known word
 walked; the result is the same.
 
 Items are taken in shards of at most ``SHARD_WORDS`` words, each with its own automaton; documents pass through the
-automata one after another in one job, so neither the driver's nor a task's memory grows with the benchmark.
+automata one after another in one job. Shards bound the size of one automaton, not the memory: the driver holds all item
+texts and a task the automata of all shards, so the whole benchmark has to fit both.
 
 Defined results: a null or empty text, or one of marks only, has no words and no hits; an item without words has no
 windows; items without an id are ignored; repeated items and rows are judged alike; an empty benchmark hits nothing;
