@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklab.llm import decontaminate, language, merkle, mixing, preference, quality, secrets, simhash, token_output, toxicity
-from tracklab.llm.common import held_out, load
+from tracklab.llm import decontaminate, fim, language, merkle, mixing, preference, quality, resampling, secrets, simhash, token_output, toxicity, warc
+from tracklab.llm.common import held_out, load, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -102,6 +102,38 @@ def op10_preference_format(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("pair_id.*", *[c for c in made.columns if c != "pair_id"])
 
 
+def op11_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.write_archives(load(spark, sf, "pages"))
+    captures = warc.assemble(written(warc.read_records(spark, folder), "warc-records"))
+    own = F.col("metadata")[0]["fields"]
+    return captures.select(
+        own["page-id"].try_cast("long").alias("page_id"),
+        "head.payload_bytes",
+        "head.payload_digest",
+        F.col("head.type").alias("record_type"),
+        own["refers-to-page"].cast("long").alias("refers_to"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    got = fim.with_cut(load(spark, sf, "documents").select("doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return got.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        F.col("fim.prefix_units").alias("prefix_chars"),
+        F.col("fim.middle_units").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fim.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    got = resampling.resample(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_language,
         op10_preference_format,
+        op11_warc_transactions,
+        op12_fill_in_middle,
+        op13_importance_resampling,
         pipeline,
     )
 }

@@ -4,7 +4,7 @@ Fingerprints by XXH64 with a seed (op5), library tokens (op6), look-around patte
 have none; tests restate them by brute force or measure them on held-out labels. The pipeline holds such stages.
 """
 
-from tracklab.llm import merkle, mixing
+from tracklab.llm import fim, merkle, mixing, resampling, warc
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -103,9 +103,53 @@ x AS (SELECT pair_id, chosen_id, rejected_id, n, c[1 : n] AS p, c[n + 1 :] AS c,
 SELECT pair_id, chosen_id, rejected_id, n::BIGINT AS n_common, {_rendered('p')} AS prompt, {_rendered('c')} AS chosen, {_rendered('r')} AS rejected,
   {_mask('c')} AS chosen_mask, {_mask('r')} AS rejected_mask, len(c) = 0 AND len(r) = 0 AS identical FROM x"""
 
+OP11 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t) AS payload_bytes, sha256(t) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
+r AS (SELECT *, payload_bytes >= {warc.LEAST_REVISIT} AND first_id IS NOT NULL AND coalesce(page_id > first_id, TRUE) AS again FROM f)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to FROM r"""
+
+_DRAW = "CAST('0x' || x[{0} : {1}] AS BIGINT)"
+_P, _S, _M = fim.MARKS
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {_DRAW.format(1, 8)} AS h1, {_DRAW.format(9, 16)} AS h2, {_DRAW.format(17, 24)} AS h3, {_DRAW.format(25, 32)} AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '{_P}') OR contains(t, '{_S}') OR contains(t, '{_M}') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{_P}' || p || '{_S}' || z || '{_M}' || m ELSE '{_S}' || z || '{_P}' || p || '{_M}' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s"""
+
+#: CRC32 by its table of 256 remainders, which is built from the polynomial by eight steps a byte.
+OP13 = f"""
+WITH tab AS (SELECT list(r ORDER BY b) AS tab FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS r FROM range(256) AS bytes(b))),
+texts AS (SELECT TRUE AS own, doc_id, {_WORDS} AS w FROM documents UNION ALL SELECT FALSE, NULL, {_WORDS} FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS row, * FROM texts),
+runs AS (SELECT row, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM numbered),
+kinds AS (SELECT f, lower(hex(encode(f))) AS x, row_number() OVER () AS kind FROM (SELECT DISTINCT f FROM runs)),
+coded AS (SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {resampling.BUCKETS} AS bucket FROM kinds, tab),
+b AS (SELECT row, own, bucket, count(*) AS n FROM runs JOIN coded USING (f) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM b GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + {resampling.BUCKETS}) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + {resampling.BUCKETS})))) AS BIGINT) AS gain FROM c),
+v AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM b JOIN g USING (bucket) WHERE own GROUP BY row),
+z AS (SELECT row, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM numbered LEFT JOIN v USING (row) WHERE own),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, words >= {resampling.LEAST_WORDS} AS able FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, 5 * count(*) FILTER (able) OVER () // 100 AS drawn FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= drawn THEN place END AS rank FROM o"""
+
 ORACLES: dict[str, str] = {
     "op1_source_mixing": OP1,
     "op3_decontamination": OP3,
     "op4_merkle_fingerprints": OP4,
     "op10_preference_format": OP10,
+    "op11_warc_transactions": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_importance_resampling": OP13,
 }
