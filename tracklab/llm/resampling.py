@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,17 @@ WEIGHT = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_fe
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
+def _crc_table() -> np.ndarray:
+    """Remainders of the 256 bytes by the CRC32 polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
 def _turn(x: np.ndarray, n: int) -> np.ndarray:
     return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
@@ -93,6 +105,25 @@ class Stretches:
             h[k] = xxh64_intdigest(self.bytes(k), seed)
         return h
 
+    def crc32(self, which: np.ndarray) -> np.ndarray:
+        """CRC32 of the named stretches, a byte of all of them at a time; the longest come first, so that those still on lead."""
+        order = np.argsort(-self.size[which], kind="stable")
+        start, size = self.start[which][order], self.size[which][order]
+        long = int(np.searchsorted(-size, -self.SHORT, "right"))
+        c = np.full(size.size, 0xFFFFFFFF, np.uint32)
+        for k in range(int(size[long]) if long < size.size else 0):
+            on = slice(long, int(np.searchsorted(-size, -k, "left")))
+            if k % 8 == 0:
+                lane = self.lanes[start[on] + k]
+            lane = lane[: on.stop - long]
+            c[on] = _CRC[(c[on] ^ lane.astype(np.uint32)) & np.uint32(0xFF)] ^ (c[on] >> np.uint32(8))
+            lane = lane >> np.uint64(8)
+        out = np.empty_like(c)
+        out[order] = ~c
+        for k in order[:long]:
+            out[k] = zlib.crc32(self.bytes(which[k]))
+        return out
+
     def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether stretches ``a`` and ``b`` hold the same bytes, pair by pair."""
         same = (self.keys[a] == self.keys[b]) & (self.size[a] == self.size[b])
@@ -130,7 +161,7 @@ class Interned:
         number[taken] = np.arange(taken.size)
         self.slot = number[slot]
         self.count = np.bincount(self.slot, minlength=taken.size)
-        self.bucket = np.fromiter((zlib.crc32(found.bytes(k)) % buckets for k in owner[taken]), np.int64, taken.size)
+        self.bucket = (found.crc32(owner[taken]) % np.uint32(buckets)).astype(np.int64)
 
 
 class Slice:
@@ -138,7 +169,7 @@ class Slice:
 
     def __init__(self, pieces: list[tuple[int, list[bytes], int]], order: int):
         """``pieces``: document, words, and the number of leading words at which features start."""
-        data = b" ".join(w for _, words, _ in pieces for w in words)
+        data = b" ".join(chain.from_iterable(words for _, words, _ in pieces))
         ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20), len(data))
         starts = np.append(0, ends[:-1] + 1)
         length = np.array([len(words) for _, words, _ in pieces])
