@@ -23,7 +23,6 @@ from tracklab.operators import (
     rowfit,
     runs,
     samples,
-    subsample,
     sweeps,
 )
 from tracklab.plans import views as V
@@ -147,24 +146,6 @@ def test_autocorrelation_with_stacked_positions(spark):
         assert r["ac"] == pytest.approx(num[r["bin"]] / cnt[r["bin"]] / v.var())
 
 
-def test_greedy_subsample_brute_force(spark):
-    rng = np.random.default_rng(2)
-    pts = {k: np.cumsum(rng.normal(0, 0.4, (n, 2)), axis=0) for k, n in ((1, 900), (2, 1), (3, 40))}
-    df = spark.createDataFrame([(k, i, float(p[0]), float(p[1])) for k, a in pts.items() for i, p in enumerate(a)], "rec INT, i INT, x DOUBLE, y DOUBLE")
-    want = []
-    for k, a in pts.items():
-        last = None
-        for i, p in enumerate(a):
-            if last is None or np.hypot(*(p - last)) >= 1.5:
-                want.append((k, i))
-                last = p
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        assert rows(subsample.greedy_subsample(df.repartition(5), ["rec"])) == sorted(want)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
 def test_empty_frames_and_thin_sides(spark):
     pts = spark.createDataFrame(
         [(1, "L", 0, n, 0.5 + n, 1.2) for n in range(5)] + [(1, "R", 0, 9, 1.0, -1.0)],

@@ -9,7 +9,7 @@ from tracklab.plans import views as V
 from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import SEGMENT_ROWS, bounded
 from tracklab.plans.views import add_view
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 STREAM = commands.STREAM
 MODEL = smoothness.MODEL
@@ -108,7 +108,7 @@ def _stream(spark, sf):
 def _stream_table(spark, sf):
     """The command table as a written stage, for queries that read it more than once."""
     c, size = _stream(spark, sf)
-    return cut_lineage(c), size
+    return stored(c), size
 
 
 @query("J1_to_streams", f"SELECT {SK}, i, CAST(abstained AS INT) AS abstained, round(\"offset\", 6) AS \"offset\" FROM v_streams", ("v_streams",))

@@ -8,7 +8,7 @@ from tracklab.plans import views as V
 from tracklab.plans.registry import d6, r6, query
 from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 MODEL = ["rec", "arm", "seed"]
 
@@ -417,7 +417,7 @@ def ci_reliability(spark, sf):
 def paired_block(spark, sf):
     """Paired differences with the interval of the longest block length over the pairs."""
     s, size = paired_series(spark, sf)
-    s = cut_lineage(s)
+    s = stored(s)
     best = resampling.ci_reliability(lengths(s), ["rec", "metric"]).select("rec", "metric", "L", "reliable")
     src = s.join(best.select("rec", "metric", "L"), ["rec", "metric"])
     ci = resampling.block_ci(src, KEY, "mean", size=size)

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from tracklab import params as P
 from tracklab.catalog.rowfit import FRAME, K, fit_sql, model_scores, pair_sql
-from tracklab.operators import evaluation, integrity, metrics, rowfit, runs, sweeps
+from tracklab.operators import evaluation, integrity, metrics, runs, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, r6, query
 from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 from tracklab.sources import readers
 
 
@@ -297,9 +297,8 @@ VS = """count(*) AS n, count(*) FILTER (shifted) AS shifted, count(*) FILTER (tu
 
 
 def _compared(spark, sf):
-    p = V.points(spark, sf)
-    new, old = rowfit.classify_frames(p, FRAME, near_m=7.0), rowfit.classify_frames(p, FRAME)
-    return evaluation.compare_versions(new, old, FRAME)
+    both = sweeps.window_frames(V.points(spark, sf), FRAME, (P.NEAR_M, 7.0))
+    return evaluation.compare_versions(both, 7.0, P.NEAR_M, FRAME)
 
 
 @query("F25_compare_versions", f"SELECT rec, arm, seed, {VS} FROM v_compared GROUP BY rec, arm, seed", ("v_compared",))
@@ -461,7 +460,7 @@ def retired_ids(spark, sf):
     ("v_lines_log",),
 )
 def stale_status(spark, sf):
-    now = cut_lineage(_status(spark, sf)[0])
+    now = stored(_status(spark, sf)[0])
     stored = now.select("conv_id", "section", F.lit("CURRENT").alias("state"))
     return integrity.stale_status(now, stored, ["conv_id", "section"])
 

@@ -7,7 +7,7 @@ from tracklab.plans import views as V
 from tracklab.plans.registry import query
 from tracklab.plans.segments import SEGMENT_ROWS, dense_index
 from tracklab.plans.views import add_view
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 
 @query(
@@ -190,7 +190,7 @@ add_view(
 
 
 def _gate(spark, sf):
-    bank, qs = _bank(spark, sf), cut_lineage(_queries(spark, sf))
+    bank, qs = _bank(spark, sf), stored(_queries(spark, sf))
     return matching.attribution_gate(_pooled(bank, "frame"), _pooled(qs, "q"), bank, qs, LOW, HIGH), bank, qs
 
 

@@ -8,7 +8,7 @@ from tracklab.plans import views as V
 from tracklab.plans.registry import query
 from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 MIN_TRAVEL = 0.3
 
@@ -179,7 +179,7 @@ def detect_runs(spark, sf):
 )
 def chain_cluster(spark, sf):
     r, size = _runs(spark, sf)
-    got = runs.chain_cluster(cut_lineage(r), ["rec"], size=size)
+    got = runs.chain_cluster(stored(r), ["rec"], size=size)
     return got.select("rec", "pass_id", F.col("corridor").cast("bigint"), F.round("centre", 6).alias("centre"))
 
 

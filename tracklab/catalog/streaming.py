@@ -1,7 +1,5 @@
 """Thinning and streaming queries."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from tracklab.catalog.comparison import positions
 from tracklab.catalog.series import manifest
 from tracklab.operators import subsample
 from tracklab.plans.registry import query
+from tracklab.session import scratch_folder
 from tracklab.streaming.commands import stream_commands, with_gains
 
 
@@ -41,16 +40,6 @@ def greedy_arc(spark, sf):
     return subsample.greedy_arc(positions(spark, sf)[0], ["rec", "run"])
 
 
-def _staging(spark) -> str:
-    """A fresh folder beside the session's checkpoints; a temporary one only in local runs without a setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.startswith("local"):
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
-
-
 @query(
     "S1_stream_commands",
     f"""SELECT {SK}, i, hold_reason, hold_run, last_valid_i, round(omega_cmd, 9) AS omega_cmd, round(omega_cmd_ramp, 9) AS omega_cmd_ramp,
@@ -59,7 +48,7 @@ def _staging(spark) -> str:
 )
 def stream(spark, sf):
     s, gains, _ = _streams(spark, sf)
-    at = _staging(spark)
+    at = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     with_gains(s, gains).write.parquet(f"{at}/in")
     src = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     run = (

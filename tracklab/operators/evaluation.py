@@ -195,16 +195,20 @@ def coverage_trend(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.V
     )
 
 
-def compare_versions(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Two scorings of the same frames side by side."""
-    o = old.select(*key, F.col("cls").alias("old_cls"), F.col("offset").alias("old_offset"), F.col("heading").alias("old_heading"))
-    j = new.join(o, list(key))
+def compare_versions(scored: DataFrame, new: float, old: float, key: Sequence[str]) -> DataFrame:
+    """Two scorings of the same frames side by side, from one table with a row per frame and version ``win``."""
+    cols = [c for c in scored.columns if c not in (*key, "win")]
+    at = lambda v: F.max(F.when(F.col("win") == v, F.struct(*cols)))
+    j = scored.groupBy(*key).agg(at(new).alias("_new"), at(old).alias("_old")).where("_new is not null and _old is not null")
+    j = j.select(*key, "_new.*", *[F.col(f"_old.{c}").alias(f"old_{c}") for c in ("cls", "offset", "heading")])
     two, was = F.col("cls") == "two_row", F.col("old_cls") == "two_row"
     return j.withColumns(
         {
             "shifted": two & was & (F.abs(F.col("offset") - F.col("old_offset")) > 0.1),
             "turned": two & was & (F.abs(F.col("heading") - F.col("old_heading")) > 5),
             "rescued": two & ~was,
+            "steep": two & ((F.abs("mL") > P.STEEP_SLOPE) | (F.abs("mR") > P.STEEP_SLOPE)),
+            "mismatch": two & (F.abs(F.col("mL") - F.col("mR")) > P.SLOPE_MISMATCH),
         }
     )
 
@@ -213,8 +217,6 @@ def version_summary(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
     two = F.col("cls") == "two_row"
     return compared.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("shifted", "turned", "rescued")],
-        F.count_if(two & F.array_contains("flags", "steep_slope")).alias("steep"),
-        F.count_if(two & F.array_contains("flags", "slope_mismatch")).alias("mismatch"),
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("shifted", "turned", "rescued", "steep", "mismatch")],
         F.count_if(two & (F.col("adj") > 0)).alias("with_adjacent"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tracklab import params as P
 from tracklab.functions.geometry import band
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 SCORE_DIGITS = 9
 BANK_BLOCK, QUERY_BLOCK = 50_000, 2_000
@@ -106,7 +106,7 @@ def coarse_fine_match(
     ``bank(frame, vec)`` has dense frames; ``versions(group, version, vec)``.
     """
     keyed = versions.select(F.concat_ws("|", F.col("group").cast("string"), F.col("version").cast("string")).alias("q"), "group", "version", "vec")
-    keyed = cut_lineage(keyed)
+    keyed = stored(keyed)
     coarse = block_best(bank.where(F.col("frame") % stride == 0), keyed.select("q", "vec"), 1)
     around = nearby(coarse.select("q", "frame"), half).select("q", F.col("near_frame").alias("frame"))
     fine = around.join(keyed, "q").join(bank.withColumnRenamed("vec", "_v"), "frame")
@@ -139,7 +139,7 @@ def percent(a: Column, b: Column) -> Column:
 
 def fine_verify(gate: DataFrame, bank: DataFrame, queries: DataFrame, low: int, high: int, half: int = P.FINE_HALF) -> DataFrame:
     """Verify rows in the review band over the whole neighbourhood, keep the larger score, decide again."""
-    gate = cut_lineage(gate)
+    gate = stored(gate)
     open_rows = gate.where("verdict = 'needs_review'")
     n = nearby(open_rows.select("q", "frame"), half).select("q", F.col("near_frame").alias("frame"))
     f = n.join(queries, "q").join(bank.withColumnRenamed("vec", "_v"), "frame")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tracklab import params as P
 from tracklab.plans.segments import SEGMENT_ROWS, dense_index, fills
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 CHUNK = 4096
 #: Accumulators that a task holds before it sends them on; equal keys meet again after the shuffle.
@@ -40,7 +40,7 @@ def lag_autocorr(
     spot = dev.groupBy(*keys, "_var", "run", "pos").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q")
     )
-    spot = cut_lineage(spot)
+    spot = stored(spot)
     same = spot.select(
         *keys,
         "_var",

@@ -17,7 +17,7 @@ from tracklab.plans.segments import (
     fills,
     islands,
 )
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 
 def detect_runs(
@@ -30,7 +30,7 @@ def detect_runs(
     keys = list(keys)
     marked = islands(df, keys, pred, "run_start", size=size).where(F.col("run_start").isNotNull())
     if size is not None:
-        marked = cut_lineage(marked)
+        marked = stored(marked)
     runs = (
         marked.groupBy(*keys, "run_start")
         .agg(
@@ -174,9 +174,9 @@ def build_manifest(series: DataFrame, min_travel: float, size: int = SEGMENT_ROW
     """Series with poses to frame manifest: kinematics, runs, corridors and scope flags."""
     from tracklab.operators.kinematics import kinematics
 
-    kin = cut_lineage(kinematics(series, ["rec"], size))
+    kin = stored(kinematics(series, ["rec"], size))
     runs = detect_runs(kin, ["rec"], F.abs("vy") > P.ALONG_ROW_ABOVE_MS, min_travel, size)
-    placed = chain_cluster(cut_lineage(runs), ["rec"], size=size)
+    placed = chain_cluster(stored(runs), ["rec"], size=size)
     return eligibility(attach_runs(kin, placed, ["rec"], size))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracklab import params as P
 from tracklab.operators.metrics import rms
 from tracklab.operators.resampling import overlaps
-from tracklab.operators.rowfit import classify_frames
+from tracklab.operators.sidefit import POLE, TRUNK, Cell, cell_frames, cell_means
 
 SWEEP_CELLS = ("agnostic",) + tuple(f"{k}_T{t}" for k in ("trunk", "pole") for t in P.CLASS_THRESHOLDS)
 SINGLE_CLASS_CELLS = ("trunk_only", "pole_only")
@@ -21,44 +21,26 @@ def cell_number(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in ALL_CELLS]), c)
 
 
-def class_preference_points(points: DataFrame, frame: Sequence[str]) -> DataFrame:
-    """Points taking part in every sweep cell.
+#: A cell prefers one class on a side that has at least T of it and otherwise takes both, the preferred one first.
+CELLS = (
+    Cell("agnostic", first=TRUNK),
+    *[Cell(f"trunk_T{t}", prefer=TRUNK, least=t, first=TRUNK) for t in P.CLASS_THRESHOLDS],
+    *[Cell(f"pole_T{t}", prefer=POLE, least=t, first=POLE) for t in P.CLASS_THRESHOLDS],
+    Cell("trunk_only", only=TRUNK, first=TRUNK),
+    Cell("pole_only", only=POLE, first=POLE),
+)
 
-    A cell prefers one class on a side that has at least T of it and otherwise takes both.  The shuffle is
-    on the frame, before points are multiplied by cells.
-    """
-    w = Window.partitionBy(*frame, "side")
-    p = points.repartition(*frame)
-    p = p.withColumns({"_t": F.count_if(F.col("kind") == 0).over(w), "_p": F.count_if(F.col("kind") == 1).over(w)})
-    trunk, pole = F.col("kind") == 0, F.col("kind") == 1
-    member = [F.lit("agnostic")]
-    member += [F.when(trunk | (F.col("_t") < t), f"trunk_T{t}") for t in P.CLASS_THRESHOLDS]
-    member += [F.when(pole | (F.col("_p") < t), f"pole_T{t}") for t in P.CLASS_THRESHOLDS]
-    member += [F.when(trunk, "trunk_only"), F.when(pole, "pole_only")]
-    p = p.withColumn("cell", F.explode(F.array_compact(F.array(*member)))).drop("_t", "_p")
-    first = F.when(F.col("cell").startswith("pole"), 1 - F.col("kind")).otherwise(F.col("kind"))
-    return p.withColumn("o", F.struct(first.alias("k"), F.col("o").alias("o")))
-
-
-def config_frames(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores of every (frame, seed, cell)."""
-    frame = [*keys, "seed", "i"]
-    return classify_frames(class_preference_points(points, frame), frame, cell=["cell"])
+
+def config_frames(points: DataFrame, keys: Sequence[str], cells: Sequence[Cell] = CELLS) -> DataFrame:
+    """Scores of every frame and cell over its seeds, from one shuffle by frame."""
+    return cell_means(points, [*keys, "i"], "seed", cells)
 
 
-def config_sweep(points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SEEDS)) -> DataFrame:
+def config_summary(per_frame: DataFrame, points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SEEDS), cells: Sequence[Cell] = CELLS) -> DataFrame:
     """Coverage and error per sweep cell over frames seen by any seed."""
     keys = list(keys)
-    scored = config_frames(points, keys)
-    per_frame = scored.groupBy(*keys, "cell", "i").agg(
-        F.count_if(F.col("cls") == "two_row").alias("two"),
-        F.count_if(F.col("cls").isin("single_row", "fitfail")).alias("one"),
-        F.sum("n_base").alias("base"),
-        F.avg("offset").alias("o"),
-        F.avg("heading").alias("h"),
-    )
     full = F.col("two") == n_seeds
-    cells = per_frame.groupBy(*keys, "cell").agg(
+    found = per_frame.groupBy(*keys, "cell").agg(
         F.sum("two").alias("_two"),
         F.sum("one").alias("_one"),
         F.sum("base").alias("_base"),
@@ -67,8 +49,8 @@ def config_sweep(points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SE
         F.count_if(full).alias("n_two_row_frames"),
     )
     seen = points.select(*keys, "i").distinct().groupBy(*keys).agg((n_seeds * F.count(F.lit(1))).alias("_tot"))
-    grid = seen.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in ALL_CELLS])))
-    out = grid.join(cells, [*keys, "cell"], "left")
+    grid = seen.withColumn("cell", F.explode(F.array(*[F.lit(c.name) for c in cells])))
+    out = grid.join(found, [*keys, "cell"], "left")
     two, one = F.coalesce("_two", F.lit(0)), F.coalesce("_one", F.lit(0))
     return out.select(
         *keys,
@@ -83,6 +65,10 @@ def config_sweep(points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SE
     )
 
 
+def config_sweep(points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SEEDS), cells: Sequence[Cell] = CELLS) -> DataFrame:
+    return config_summary(config_frames(points, keys, cells), points, keys, n_seeds, cells)
+
+
 def select_config(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.VIABLE_COVERAGE_PCT) -> DataFrame:
     """Lowest error among cells reaching the coverage floor; an overlap with the baseline locks the baseline.
 
@@ -115,9 +101,8 @@ def select_config(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.VI
 
 def window_frames(points: DataFrame, frame: Sequence[str], grid: Sequence[float] = P.WINDOW_GRID_M) -> DataFrame:
     """Scores of every frame under every near window."""
-    p = points.repartition(*frame)
-    p = p.withColumn("win", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    return classify_frames(p, frame, near_m="win", cell=["win"])
+    got = cell_frames(points, frame, [Cell(str(float(g)), near=float(g)) for g in grid])
+    return got.withColumn("win", F.col("cell").cast("double")).drop("cell")
 
 
 def window_sweep(points: DataFrame, spine: DataFrame, keys: Sequence[str], base_win: float = P.NEAR_M) -> DataFrame:

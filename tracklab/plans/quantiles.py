@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 #: Relative accuracy of the sketch that brackets a wanted rank; about ``4 / ACCURACY`` of a group's rows fall in the bracket.
 ACCURACY = 10_000
@@ -36,7 +36,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         )
         for k, p in enumerate(probs)
     ]
-    wanted = cut_lineage(span.select(*keys, F.array(*bracket).alias("_w")))
+    wanted = stored(span.select(*keys, F.array(*bracket).alias("_w")))
     near = base.join(wanted, keys)
     below = near.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_w")[k]["lo"]).alias(f"_b{k}") for k in range(len(probs))])
     skips = below.select(*keys, F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"_b{k}").alias("skip")) for k, p in enumerate(probs)])).alias("_s")).select(*keys, "_s.*")
@@ -54,7 +54,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per key with a column per named percentile."""
-    rows = exact_quantiles(cut_lineage(df.select(*keys, value)), keys, value, sorted(set(named.values())), accuracy)
+    rows = exact_quantiles(stored(df.select(*keys, value)), keys, value, sorted(set(named.values())), accuracy)
     return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(name) for name, p in named.items()]
     )

@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracklab.session import cut_lineage
+from tracklab.session import stored
 
 #: Rows of a segment; tests set it so low that the smallest keys are cut.
 SEGMENT_ROWS = int(os.environ.get("TRACKLAB_SEGMENT_ROWS", "4096"))
@@ -33,7 +33,7 @@ def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """Add a segment that does not decrease along ``order`` within a key: the part of a range partitioning, made fixed by a checkpoint."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *keys, *order) if parts > 1 else df.coalesce(1)
-    return cut_lineage(ranged.withColumn(SEG, F.spark_partition_id().cast("bigint")))
+    return stored(ranged.withColumn(SEG, F.spark_partition_id().cast("bigint")))
 
 
 def segment_of(idx: str, size: int = SEGMENT_ROWS) -> Column:
@@ -142,7 +142,7 @@ def fills(
         **{k: F.last(v, ignorenulls=True).over(back) for k, v in before.items()},
         **{k: F.first(v, ignorenulls=True).over(ahead) for k, v in after.items()},
     }
-    s = by_range(df, keys, order) if idx is None else cut_lineage(with_segment(df, idx, size))
+    s = by_range(df, keys, order) if idx is None else stored(with_segment(df, idx, size))
     rank = F.struct(*[F.col(c) for c in order])
     edges = s.groupBy(*keys, SEG).agg(
         *[F.sum(v).alias(f"_e_{k}") for k, v in sums.items()],
