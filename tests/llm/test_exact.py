@@ -461,3 +461,20 @@ def test_preference_with_shared_openings_and_nulls(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     check_pairs(queries.op10_preference_format(spark, str(tmp_path)), turns)
     assert preference.END.startswith("<|end|>")
+
+
+def test_matches_of_one_text_take_linear_time(spark):
+    import time
+
+    def timed(n):
+        text = " é\n".join(f"{k:024x}" for k in range(n)) + " token=abcdefgh"
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        found = secrets.scan(frame).first()["secrets"].base
+        return time.perf_counter() - start, [(s.start, s.rank, s.end) for s in found], text
+
+    timed(100)
+    half, _, _ = timed(20_000)
+    full, found, text = timed(40_000)
+    assert full < 10 and full < 3 * half + 1
+    assert sorted(found) == [s for s in plain_spans(text)[1] if s[1] < 3]

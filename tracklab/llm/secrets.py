@@ -37,24 +37,36 @@ KINDS = ("assign", "access", "hex", "ident", "bare", "endpoint")
 LEAST_VALUE = 6
 
 
+#: Matches whose positions are summed up together; lists grow no longer than this within a text.
+BLOCK = 128
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: leftmost non-overlapping matches with positions in code points, end exclusive.
 
-    The text is split at the matches; a match starts after all gaps and matches before it.
+    The text is split at the matches; a match starts after all gaps and matches before it. These sums are taken in blocks, and
+    both lists are made once for a text, so the work is linear in the number of matches up to some ten thousand.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    cells = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("value")))
 
-    def add(held: Column, k: Column) -> Column:
-        start = held["at"] + F.length(F.get(gaps, k))
-        end = start + F.length(F.get(found, k))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(found, k).alias("value"))
+    def add(held: Column, cell: Column) -> Column:
+        start = held["at"] + cell["gap"]
+        end = start + cell["size"]
+        one = F.struct(start.alias("start"), end.alias("end"), cell["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(held["spans"], F.array(one)).alias("spans"))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add, lambda held: held["spans"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    in_block = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), add, lambda held: held["spans"])
+
+    def positions(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda at, cell: at + cell["gap"] + cell["size"]))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda held, n: F.concat(held, F.array(F.element_at(held, -1) + n)))
+        placed = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), in_block)
+        return F.filter(F.flatten(placed), lambda span: span["value"].isNotNull())
+
+    # A list of one is the way to name a value that is used more than once.
+    blocks = F.transform(F.array(cells), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda k: F.slice(c, k * BLOCK + 1, BLOCK)))
+    return F.get(F.transform(blocks, positions), F.lit(0))
 
 
 def _labelled(spans: Column, kind: str) -> Column:
@@ -69,7 +81,7 @@ def base_findings(text: Column) -> tuple[Column, Column, Column]:
 
 
 def weak_candidates(text: Column) -> Column:
-    """Spans of identifiers, bare strings and endpoints. A cheap test first: most texts have no such part."""
+    """Spans of identifiers, bare strings and endpoints."""
     parts = [_labelled(matches(text, p), k) for p, k in ((IDENT, "ident"), (BARE, "bare"), (ENDPOINT, "endpoint"))]
     return F.concat(*parts)
 

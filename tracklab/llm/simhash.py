@@ -198,26 +198,34 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, fp, component_id): the fingerprint and the smallest document id that chains of links reach."""
+    """(doc_id, fp, component_id, root, text_key): the fingerprint and the smallest document id that chains of links reach.
+
+    ``root`` names the component also where ids collide; ``text_key`` is a 64-bit hash of the text.
+    """
     if threshold > 3:
         raise ValueError("the halves are covered for thresholds up to 3")
     name = free_name(docs, "fp")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = written(with_fingerprint(base, name, "text", shingle).select("doc_id", F.col(f"{name}.value").alias("fp")), "fingerprints")
+    text_key = F.xxhash64("text").alias("text_key")
+    marked = written(with_fingerprint(base, name, "text", shingle).select("doc_id", F.col(f"{name}.value").alias("fp"), text_key), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(distinct, threshold))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(joined.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(joined.select("fp", "root").join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root", "text_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, the smallest id; of rows that repeat an id, one. Rows without an id stay, one for each text."""
+    """One document of each component: the smallest id and, where unlike rows share it, the smallest hash of the text.
+
+    Rows of one id and text are one row. Texts of one id that are not linked all stay; rows without an id stay, one for each text.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    key = free_name(docs, "_key")
+    key, text_key = free_name(docs, "_key"), free_name(docs, "_text_key")
     none = F.lit(-(1 << 63))
-    firsts = found.where("doc_id = component_id or doc_id is null").select(F.coalesce("doc_id", none).alias(key)).distinct()
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none))
-    kept = keyed.join(firsts, key, "left_semi")
-    other = free_name(keyed, "_text")
-    return kept.withColumn(other, F.when(F.col(id_col).isNull(), F.col(text_col))).dropDuplicates([key, other]).drop(key, other)
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    firsts = found.where("doc_id is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias(key), F.col("first.text_key").alias(text_key))
+    lone = found.where("doc_id is null").select(none.alias(key), F.col("text_key").alias(text_key))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), none), text_key: F.xxhash64(text_col)})
+    kept = keyed.join(firsts.unionByName(lone).distinct(), [key, text_key], "left_semi")
+    return kept.dropDuplicates([key, text_key]).drop(key, text_key)
