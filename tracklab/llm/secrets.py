@@ -47,7 +47,8 @@ def matches(text: Column, pattern: str) -> Column:
     The text is split at the matches; a match starts after all gaps and matches before it. These sums are taken in blocks, and
     both lists are made once for a text, so the work is linear in the number of matches up to some ten thousand.
     """
-    cells = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("value")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    cells = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("value")))
 
     def add(held: Column, cell: Column) -> Column:
         start = held["at"] + cell["gap"]
@@ -66,7 +67,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     # A list of one is the way to name a value that is used more than once.
     blocks = F.transform(F.array(cells), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda k: F.slice(c, k * BLOCK + 1, BLOCK)))
-    return F.get(F.transform(blocks, positions), F.lit(0))
+    return F.when(F.size(found) > 0, F.get(F.transform(blocks, positions), F.lit(0))).otherwise(none)
 
 
 def _labelled(spans: Column, kind: str) -> Column:
