@@ -291,8 +291,8 @@ def test_signs(spark):
 @pytest.mark.parametrize("rate", [0.01, 1.0, 50.0, 200.0, 2000.0])
 def test_poisson_draws_at_any_rate(rate):
     n, reps = 400, 100
-    ids = np.random.default_rng(9).integers(0, 1 << 63, n, dtype=np.uint64)
-    w = resampling.poisson_draws(ids, np.arange(1, reps + 1, dtype=np.uint64), resampling.poisson_plan(rate))
+    one, two = np.random.default_rng(9).integers(1, resampling.PRIME, (2, n))
+    w = resampling.poisson_draws(one, two, np.arange(1, reps + 1), resampling.poisson_plan(rate))
     assert abs(w.mean() - rate) < 5 * np.sqrt(rate / w.size)
     assert abs(w.var() / rate - 1) < 0.05 + 5 * np.sqrt((2 + 1 / rate) / w.size)
 

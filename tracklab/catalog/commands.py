@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tracklab import params as P
-from tracklab.catalog.comparison import positions
+from tracklab.catalog.comparison import DELTA, longest, paired_series, positions
+from tracklab.catalog.draws import block_ci_sql
 from tracklab.operators import commands, kinematics, resampling, smoothness, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, d9, r6, r9, query
@@ -280,14 +281,32 @@ def smoothness_compare(spark, sf):
     return rows.groupBy("rec", "pair").agg(F.count(F.lit(1)).alias("n"), F.round(sq("a") - sq("b"), 9).alias("delta_rms"))
 
 
-@query("J11_smoothness_compare_ci")
+add_view(
+    "v_dpairs",
+    ("v_dacross", "v_pos", "v_longest"),
+    """SELECT a.rec, xa || '-' || xb AS pair, a.i, a.dw AS a, b.dw AS b, p.run, p.pos, l.L
+       FROM (VALUES ('A', 'B'), ('A', 'C'), ('B', 'C')) q(xa, xb) JOIN v_dacross a ON a.arm = xa
+       JOIN v_dacross b ON b.arm = xb AND a.rec = b.rec AND a.i = b.i JOIN v_pos p ON p.rec = a.rec AND p.i = a.i
+       JOIN (SELECT rec, max(L) AS L FROM v_longest GROUP BY rec) l ON l.rec = a.rec""",
+)
+
+
+@query(
+    "J11_smoothness_compare_ci",
+    f"""SELECT rec, pair, n, L, round(delta_rms, 9) AS delta_rms, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high
+        FROM (SELECT rec, pair, count(*) AS n, any_value(L) AS L, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS delta_rms FROM v_dpairs GROUP BY ALL)
+        LEFT JOIN ({block_ci_sql('v_dpairs', 'rec, pair', {'a': 'a * a', 'b': 'b * b'}, DELTA)}) USING (rec, pair)""",
+    ("v_dpairs",),
+)
 def smoothness_compare_ci(spark, sf):
+    """With the longer of the two metrics' block lengths."""
     c, size = _stream_table(spark, sf)
     across = smoothness.across_seed_deltas(smoothness.delta_views(c, size), "inclusive", "omega_cmd")
     pos, psize = positions(spark, sf)
-    rows = smoothness.smoothness_compare(across).join(pos, ["rec", "i"]).withColumn("L", F.lit(9).cast("bigint"))
+    block = longest(stored(paired_series(spark, sf)[0])).groupBy("rec").agg(F.max("L").alias("L"))
+    rows = smoothness.smoothness_compare(across).join(pos, ["rec", "i"]).join(block, "rec")
     got = resampling.paired_block_ci(rows, ["rec", "pair"], size=psize)
-    return got.select("rec", "pair", "n", *r9("delta_rms", "ci_low", "ci_high"))
+    return got.select("rec", "pair", "n", "L", *r9("delta_rms", "ci_low", "ci_high"))
 
 
 @query(

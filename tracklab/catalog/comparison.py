@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tracklab import params as P
-from tracklab.operators import kinematics, metrics, paired, resampling, runs
+from tracklab.catalog.draws import block_ci_sql, interval_sql, replicates_sql
+from tracklab.operators import kinematics, metrics, paired, resampling, runs, subsample
 from tracklab.plans import views as V
 from tracklab.plans.registry import d6, r6, query
 from tracklab.plans.segments import SEGMENT_ROWS
@@ -359,20 +360,6 @@ add_view(
            ON m.rec = a.rec AND m.pair = a.pair AND m.metric = a.metric)
        WHERE floor((pb - pa) / 0.15e0) < 20 GROUP BY ALL""",
 )
-add_view(
-    "v_lengths",
-    ("v_ac", "v_long"),
-    f"""SELECT *, 2 * coalesce(decorr_m, 1.5e0) AS block_m, decorr_m / spacing_m AS samples_per_decorr,
-          CAST(greatest(2, round_even(2 * coalesce(decorr_m, 1.5e0) / spacing_m, 0)) AS BIGINT) AS L
-        FROM (SELECT rec, pair, metric, any_value(pair_no) AS pair_no, CAST(sum(c) AS BIGINT) AS n,
-            coalesce(avg(CASE WHEN c > 1 THEN span / (c - 1) END), 0.05e0) AS spacing_m
-          FROM (SELECT rec, pair, metric, any_value(pair_no) AS pair_no, run, count(*) AS c, max(pos) - min(pos) AS span
-            FROM v_long GROUP BY rec, pair, metric, run) GROUP BY rec, pair, metric)
-        LEFT JOIN (SELECT rec, pair, metric, ([{CENTRES}])[CAST(min(bin) + 1 AS INT)] AS decorr_m FROM v_ac WHERE ac < 0.1
-          GROUP BY ALL) USING (rec, pair, metric)""",
-)
-
-
 @query(
     "G5_lag_autocorr",
     "SELECT rec, pair, metric, bin, pairs, round(ac, 6) AS ac FROM v_ac",
@@ -383,11 +370,34 @@ def lag_autocorr(spark, sf):
     return resampling.lag_autocorr(s, KEY).select(*KEY, "bin", "pairs", *r6("ac"))
 
 
-def lengths(series):
-    got = resampling.block_length(series, KEY)
+def lengths(series, threshold: float = P.DECORR_THRESHOLD):
+    got = resampling.block_length(series, KEY, threshold)
     return got.withColumn("pair_no", F.when(F.col("pair") == "A-B", 0).when(F.col("pair") == "A-C", 1).otherwise(2))
 
 
+def lengths_view(threshold: float) -> str:
+    return f"""SELECT *, 2 * coalesce(decorr_m, 1.5e0) AS block_m, decorr_m / spacing_m AS samples_per_decorr,
+          CAST(greatest(2, round_even(2 * coalesce(decorr_m, 1.5e0) / spacing_m, 0)) AS BIGINT) AS L
+        FROM (SELECT rec, pair, metric, any_value(pair_no) AS pair_no, CAST(sum(c) AS BIGINT) AS n,
+            coalesce(avg(CASE WHEN c > 1 THEN span / (c - 1) END), 0.05e0) AS spacing_m
+          FROM (SELECT rec, pair, metric, any_value(pair_no) AS pair_no, run, count(*) AS c, max(pos) - min(pos) AS span
+            FROM v_long GROUP BY rec, pair, metric, run) GROUP BY rec, pair, metric)
+        LEFT JOIN (SELECT rec, pair, metric, ([{CENTRES}])[CAST(min(bin) + 1 AS INT)] AS decorr_m FROM v_ac WHERE ac < {threshold}
+          GROUP BY ALL) USING (rec, pair, metric)"""
+
+
+def longest_view(lengths: str) -> str:
+    """The longest block over the pairs of every metric, first pair on ties."""
+    return f"""SELECT rec, metric, L, CAST(samples_per_decorr IS NULL OR samples_per_decorr >= 3.0 AS INT) AS reliable FROM (SELECT *,
+          row_number() OVER (PARTITION BY rec, metric ORDER BY L DESC, pair_no) AS r FROM {lengths}) WHERE r = 1"""
+
+
+add_view("v_lengths", ("v_ac", "v_long"), lengths_view(P.DECORR_THRESHOLD))
+add_view("v_lengths_strict", ("v_ac", "v_long"), lengths_view(P.DECORR_THRESHOLD_STRICT))
+add_view("v_longest", ("v_lengths",), longest_view("v_lengths"))
+add_view("v_longest_strict", ("v_lengths_strict",), longest_view("v_lengths_strict"))
+
+
 BL = ("spacing_m", "decorr_m", "block_m", "samples_per_decorr")
 
 
@@ -414,59 +424,159 @@ def ci_reliability(spark, sf):
     return got.select("rec", "metric", "L", "pair", *r6("samples_per_decorr"), F.col("reliable").cast("int").alias("reliable"))
 
 
-def paired_block(spark, sf):
+def longest(series, threshold: float = P.DECORR_THRESHOLD):
+    """(rec, metric, L, reliable): the longest block over the pairs."""
+    return stored(resampling.ci_reliability(lengths(series, threshold), ["rec", "metric"]).select("rec", "metric", "L", "reliable"))
+
+
+def paired_block(spark, sf, threshold: float = P.DECORR_THRESHOLD):
     """Paired differences with the interval of the longest block length over the pairs."""
     s, size = paired_series(spark, sf)
     s = stored(s)
-    best = resampling.ci_reliability(lengths(s), ["rec", "metric"]).select("rec", "metric", "L", "reliable")
-    src = s.join(best.select("rec", "metric", "L"), ["rec", "metric"])
-    ci = resampling.block_ci(src, KEY, "mean", size=size)
+    best = longest(s, threshold)
+    ci = resampling.block_ci(s.join(best.select("rec", "metric", "L"), ["rec", "metric"]), KEY, "mean", size=size)
     return resampling.ci_excludes_zero(ci).join(best.select("rec", "metric", "reliable"), ["rec", "metric"])
 
 
-@query("G3_paired_diff_block_ci")
-def paired_diff_block_ci(spark, sf):
-    return paired_block(spark, sf).select(
+def paired_block_sql(longest: str) -> str:
+    src = f"(SELECT l.*, b.L FROM v_long l JOIN {longest} b USING (rec, metric))"
+    return f"""SELECT rec, pair, metric, n, L, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
+          CAST(coalesce(ci_low > 0 OR ci_high < 0, false) AS INT) AS excludes_zero, reliable
+        FROM (SELECT rec, pair, metric, count(*) AS n, avg(v) AS point FROM v_long GROUP BY ALL)
+        JOIN {longest} USING (rec, metric)
+        LEFT JOIN ({block_ci_sql(src, 'rec, pair, metric', {'v': 'v'}, 's_v / s__l')}) USING (rec, pair, metric)"""
+
+
+def _paired_block_rows(spark, sf, threshold):
+    return paired_block(spark, sf, threshold).select(
         *KEY, "n", "L", *r6("point", "ci_low", "ci_high"), F.col("excludes_zero").cast("int").alias("excludes_zero"),
         F.col("reliable").cast("int").alias("reliable"),
     )
 
 
-@query("G3_arm_rms_block_ci")
+@query("G3_paired_diff_block_ci", paired_block_sql("v_longest"), ("v_long", "v_longest"))
+def paired_diff_block_ci(spark, sf):
+    return _paired_block_rows(spark, sf, P.DECORR_THRESHOLD)
+
+
+@query("G3_paired_diff_block_ci_strict", paired_block_sql("v_longest_strict"), ("v_long", "v_longest_strict"))
+def paired_diff_block_ci_strict(spark, sf):
+    """The same with the stricter decorrelation threshold, which gives longer blocks."""
+    return _paired_block_rows(spark, sf, P.DECORR_THRESHOLD_STRICT)
+
+
+add_view(
+    "v_armlong",
+    ("v_across", "v_pos", "v_longest"),
+    """SELECT a.*, p.run, p.pos, b.L FROM (SELECT rec, arm, i, unnest(['offset', 'heading']) AS metric, unnest([o, h]) AS v FROM v_across) a
+       JOIN v_pos p USING (rec, i) JOIN v_longest b USING (rec, metric)""",
+)
+
+
+@query(
+    "G3_arm_rms_block_ci",
+    f"""SELECT rec, arm, metric, n, L, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high
+        FROM (SELECT rec, arm, metric, count(*) AS n, any_value(L) AS L, sqrt(avg(v * v)) AS point FROM v_armlong GROUP BY ALL)
+        LEFT JOIN ({block_ci_sql('v_armlong', 'rec, arm, metric', {'v': 'v * v'}, 'sqrt(greatest(s_v, 0) / s__l)')}) USING (rec, arm, metric)""",
+    ("v_armlong",),
+)
 def arm_rms_block_ci(spark, sf):
-    pos, size = positions(spark, sf)
-    long = paired.across_seed(V.scores(spark, sf), ["rec"]).join(pos, ["rec", "i"])
-    long = long.select("rec", "arm", "i", "run", "pos", F.col("offset").alias("v"), F.lit(9).cast("bigint").alias("L"))
-    got = resampling.block_ci(long, ["rec", "arm"], "rms", size=size)
-    return got.select("rec", "arm", "n", "L", *r6("point", "ci_low", "ci_high"))
+    s, size = paired_series(spark, sf)
+    pos, _ = positions(spark, sf)
+    stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("offset", "heading")])).alias("_m")
+    long = paired.across_seed(V.scores(spark, sf), ["rec"]).select("rec", "arm", "i", stacked).select("rec", "arm", "i", "_m.*")
+    long = long.join(pos, ["rec", "i"]).join(longest(stored(s)).select("rec", "metric", "L"), ["rec", "metric"])
+    got = resampling.block_ci(long, ["rec", "arm", "metric"], "rms", size=size)
+    return got.select("rec", "arm", "metric", "n", "L", *r6("point", "ci_low", "ci_high"))
 
 
-@query("G1_boot_ci")
+add_view(
+    "v_thin",
+    ("v_frames",),
+    """SELECT rec, i FROM (WITH RECURSIVE m AS (SELECT rec, i, x, y FROM v_frames WHERE eligible),
+         nx AS (SELECT a.rec, a.i, min(b.i) AS j FROM m a JOIN m b ON a.rec = b.rec AND b.i > a.i
+           AND sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) >= 1.5 GROUP BY a.rec, a.i),
+         kept AS (SELECT rec, min(i) AS i FROM m GROUP BY rec UNION ALL SELECT k.rec, nx.j FROM kept k JOIN nx ON nx.rec = k.rec AND nx.i = k.i)
+       SELECT rec, i FROM kept)""",
+)
+add_view("v_fitthin", ("v_fit", "v_thin"), "SELECT * FROM v_fit JOIN v_thin USING (rec, i)")
+
+
+@query(
+    "G1_boot_ci",
+    f"""SELECT rec, arm, seed, n, round(point, 6) AS point, CASE WHEN n >= 8 THEN round(ci_low, 6) END AS ci_low, CASE WHEN n >= 8 THEN round(ci_high, 6) END AS ci_high
+        FROM (SELECT rec, arm, seed, count(*) AS n, sqrt(avg("offset" * "offset")) AS point FROM v_fitthin GROUP BY ALL)
+        JOIN ({interval_sql(replicates_sql('v_fitthin', 'rec, arm, seed', 'arm, seed, i', {'v': '"offset" * "offset"'}), 'rec, arm, seed', 'sqrt(s_v / w)')}) USING (rec, arm, seed)""",
+    ("v_fitthin",),
+)
 def boot_ci(spark, sf):
-    rows = metrics.fitted(V.scores(spark, sf))
+    """On frames thinned to the distance at which they count as independent."""
+    frames = V.frames(spark, sf).where("eligible").select("rec", "i", "x", "y")
+    rows = metrics.fitted(V.scores(spark, sf)).join(subsample.greedy_subsample(frames, ["rec"]), ["rec", "i"])
     got = resampling.boot_ci(rows, MODEL, ["arm", "seed", "i"], "offset", "rms")
     return got.select(*MODEL, "n", *r6("point", "ci_low", "ci_high"))
 
 
-@query("G2_boot_diff_ci")
+add_view(
+    "v_parts",
+    ("v_fit", "v_frames"),
+    """SELECT s.rec, s.arm, s.seed, s.i, s."offset", unnest(['all', CASE WHEN f.eligible THEN 'in' ELSE 'out' END]) AS part
+       FROM v_fit s JOIN v_frames f USING (rec, i)""",
+)
+_PART_REPS = replicates_sql("v_parts", "rec, arm, part", "part, arm, seed, i", {"v": '"offset"'})
+_ONE = interval_sql(_PART_REPS, "rec, arm, part", "s_v / w")
+_DIFF = interval_sql(
+    f"SELECT a.rec, a.arm, a.s_v / a.w - b.s_v / b.w AS d FROM ({_PART_REPS}) a JOIN ({_PART_REPS}) b ON a.rec = b.rec AND a.arm = b.arm AND a.rep = b.rep AND a.part = 'in' AND b.part = 'out'",
+    "rec, arm", "d",
+)
+
+
+@query(
+    "G2_boot_diff_ci",
+    f"""SELECT rec, arm, part, n, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (
+          SELECT rec, arm, part, count(*) AS n, avg("offset") AS point FROM v_parts GROUP BY ALL) JOIN ({_ONE}) USING (rec, arm, part)
+        UNION ALL SELECT rec, arm, 'in-out', n, round(point, 6), round(ci_low, 6), round(ci_high, 6) FROM (
+          SELECT rec, arm, count(*) FILTER (part <> 'all') AS n, avg("offset") FILTER (part = 'in') - avg("offset") FILTER (part = 'out') AS point
+          FROM v_parts GROUP BY ALL) LEFT JOIN ({_DIFF}) USING (rec, arm)""",
+    ("v_parts",),
+)
 def boot_diff_ci(spark, sf):
-    f = V.frames(spark, sf).select("rec", "i", F.when(F.col("eligible"), "in").otherwise("out").alias("part"))
-    rows = metrics.fitted(V.scores(spark, sf)).join(f, ["rec", "i"])
-    got = resampling.boot_diff_ci(rows, ["rec", "arm"], ["arm", "seed", "i"], "offset", "part", "in", "out")
-    return got.select("rec", "arm", *r6("diff", "ci_low", "ci_high"))
+    """Overall, by stratum, and the difference of the strata."""
+    f = V.frames(spark, sf).select("rec", "i", F.when(F.col("eligible"), "in").otherwise("out").alias("own"))
+    rows = metrics.fitted(V.scores(spark, sf)).join(f, ["rec", "i"]).withColumn("part", F.explode(F.array(F.lit("all"), F.col("own"))))
+    got = resampling.boot_table(stored(rows.select("rec", "arm", "seed", "i", "offset", "part")), ["rec", "arm"], ["arm", "seed", "i"], "offset", "part", ("in", "out"))
+    return got.select("rec", "arm", "part", "n", *r6("point", "ci_low", "ci_high"))
 
 
-@query("G4_paired_rms_block_ci")
+add_view(
+    "v_armpairs",
+    ("v_across", "v_pos", "v_longest"),
+    f"""SELECT a.rec, xa || '-' || xb AS pair, a.i, a.o AS a, b.o AS b, p.run, p.pos, l.L FROM {PAIR_CASES} JOIN v_across a ON a.arm = xa
+        JOIN v_across b ON b.arm = xb AND a.rec = b.rec AND a.i = b.i JOIN v_pos p ON p.rec = a.rec AND p.i = a.i JOIN v_longest l ON l.rec = a.rec AND l.metric = 'offset'""",
+)
+DELTA = "sqrt(greatest(s_a, 0) / s__l) - sqrt(greatest(s_b, 0) / s__l)"
+
+
+@query(
+    "G4_paired_rms_block_ci",
+    f"""SELECT rec, pair, n, L, round(delta_rms, 6) AS delta_rms, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high
+        FROM (SELECT rec, pair, count(*) AS n, any_value(L) AS L, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS delta_rms FROM v_armpairs GROUP BY ALL)
+        LEFT JOIN ({block_ci_sql('v_armpairs', 'rec, pair', {'a': 'a * a', 'b': 'b * b'}, DELTA)}) USING (rec, pair)""",
+    ("v_armpairs",),
+)
 def paired_rms_block_ci(spark, sf):
-    pos, size = positions(spark, sf)
-    per = paired.across_seed(V.scores(spark, sf), ["rec"])
-    wide = per.groupBy("rec", "i").agg(
-        F.max(F.when(F.col("arm") == "A", F.col("offset"))).alias("a"),
-        F.max(F.when(F.col("arm") == "B", F.col("offset"))).alias("b"),
+    s, size = paired_series(spark, sf)
+    pos, _ = positions(spark, sf)
+    across = paired.across_seed(V.scores(spark, sf), ["rec"]).select("rec", "i", "arm", "offset")
+    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in P.PAIRS])).alias("_p")
+    wide = across.select("rec", "i", "arm", "offset", sides).groupBy("rec", "i", "_p.pair").agg(
+        F.max(F.when(F.col("arm") == F.col("_p.x"), F.col("offset"))).alias("a"),
+        F.max(F.when(F.col("arm") == F.col("_p.y"), F.col("offset"))).alias("b"),
     )
-    src = wide.where("a is not null and b is not null").join(pos, ["rec", "i"]).withColumn("L", F.lit(9).cast("bigint"))
-    got = resampling.paired_block_ci(src, ["rec"], size=size)
-    return got.select("rec", "n", *r6("delta_rms", "ci_low", "ci_high"))
+    block = longest(stored(s)).where("metric = 'offset'").select("rec", "L")
+    src = wide.where("a is not null and b is not null").join(pos, ["rec", "i"]).join(block, "rec")
+    got = resampling.paired_block_ci(src, ["rec", "pair"], size=size)
+    return got.select("rec", "pair", "n", "L", *r6("delta_rms", "ci_low", "ci_high"))
 
 
 CELL = """SELECT rec, arm, seed, avg("offset") - stddev_pop("offset") / sqrt(count(*)) AS ci_low,

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tracklab import params as P
 from tracklab.plans.segments import SEGMENT_ROWS, dense_index, fills
 from tracklab.session import stored
 
-CHUNK = 4096
+CHUNK = 256
 #: Accumulators that a task holds before it sends them on; equal keys meet again after the shuffle.
 HELD_BYTES = 64 << 20
 
@@ -139,12 +139,32 @@ def poisson_plan(rate: float) -> tuple[int, np.ndarray]:
     return parts, np.array(steps)
 
 
-def poisson_draws(ids: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray]) -> np.ndarray:
-    """Poisson weights per (row id, replicate); every part has a hash stream of its own."""
+#: Modulus of the draws, a prime whose arithmetic fits 64-bit whole numbers of any engine.
+PRIME = (1 << 31) - 1
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainder by ``PRIME`` of numbers below 2^62."""
+    x = (x & PRIME) + (x >> 31)
+    x -= PRIME * (x >= PRIME)
+    return x
+
+
+def _uniform(a: np.ndarray, b: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Uniform draws per (row, replicate): the row's line a + rep b, mixed by two fifth powers, which permute the residues."""
+    x = _mod(a[:, None] + reps[None, :] * b[:, None])
+    for key in (a, b):
+        y = _mod(x * x)
+        x = _mod(_mod(_mod(y * y) * x) + key[:, None])
+    return x / PRIME
+
+
+def poisson_draws(a: np.ndarray, b: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray]) -> np.ndarray:
+    """Poisson weights per (row, replicate) from the row's two words; every part has a stream of its own."""
     parts, cuts = plan
-    w = np.zeros((ids.size, reps.size))
+    w = np.zeros((a.size, reps.size))
     for part in range(parts):
-        u = _uniform(ids ^ np.uint64(part * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF), reps)
+        u = _uniform(_mod(a + 48271 * part), b, reps)
         for c in cuts:
             hit = u > c
             if not hit.any():
@@ -153,13 +173,11 @@ def poisson_draws(ids: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray
     return w
 
 
-def _uniform(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """Uniform draws per (row id, replicate) from a 64-bit mixing hash."""
-    z = ids[:, None] ^ (reps[None, :] * np.uint64(0x9E3779B97F4A7C15))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
+def draw_words(seed: int, identity: Sequence[str]) -> list[Column]:
+    """Two numbers below ``PRIME`` from the MD5 of the seed and the row's identity; the second is not zero."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
+    word = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
+    return [(word(1) % PRIME).alias("_word1"), (1 + word(9) % (PRIME - 1)).alias("_word2")]
 
 
 def replicate_sums(
@@ -168,16 +186,18 @@ def replicate_sums(
 ) -> DataFrame:
     """Weighted sums per replicate: ``(*keys, rep, w, s_<value>...)``.
 
+    Draws depend on the identity alone, not on the keys: keys that hold the same rows are drawn alike.
+
     ``rate`` names a column, constant within a key, with the expected number of draws per row.
     """
     keys, values = list(keys), list(values)
     src = rows.select(
         *keys,
         *[F.col(v).cast("double").alias(v) for v in values],
-        F.xxhash64(F.lit(seed), *identity).alias("_id"),
+        *draw_words(seed, identity),
         (F.col(rate).cast("double") if rate else F.lit(1.0)).alias("_rate"),
     )
-    reps = np.arange(1, replicates + 1, dtype=np.uint64)
+    reps = np.arange(1, replicates + 1, dtype=np.int64)
     fields = [src.schema[k] for k in keys] + [T.StructField("rep", T.IntegerType()), T.StructField("w", T.DoubleType())]
     fields += [T.StructField(f"s_{v}", T.DoubleType()) for v in values]
     out_schema = T.StructType(fields)
@@ -191,11 +211,11 @@ def replicate_sums(
                 rt = float(g["_rate"].iloc[0])
                 if rt not in plans:
                     plans[rt] = poisson_plan(rt)
-                ids = g["_id"].to_numpy().view(np.uint64)
+                one, two = g["_word1"].to_numpy(), g["_word2"].to_numpy()
                 vals = np.column_stack([np.ones(len(g))] + [g[v].to_numpy() for v in values])
                 tot = acc.setdefault(k, np.zeros((replicates, len(values) + 1)))
                 for a in range(0, len(g), CHUNK):
-                    w = poisson_draws(ids[a : a + CHUNK], reps, plans[rt])
+                    w = poisson_draws(one[a : a + CHUNK], two[a : a + CHUNK], reps, plans[rt])
                     tot += w.T @ vals[a : a + CHUNK]
             if len(acc) * replicates * (len(values) + 1) * 8 > HELD_BYTES:
                 yield from flush(acc)
@@ -238,23 +258,25 @@ def boot_ci(
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("ci_low", "ci_high")})
 
 
-def boot_diff_ci(
-    rows: DataFrame, keys: Sequence[str], identity: Sequence[str], value: str, group: str, a: str, b: str,
+def boot_table(
+    rows: DataFrame, keys: Sequence[str], identity: Sequence[str], value: str, part: str, contrast: tuple[str, str],
     replicates: int = 2000, seed: int = 42,
 ) -> DataFrame:
-    """Interval of mean(a) - mean(b) for two independently resampled groups."""
-    keys = list(keys)
-    src = rows.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
-    sums = replicate_sums(src, [*keys, group], [group, *identity], [value], replicates, seed).where("w > 0")
+    """Mean and interval of every part, and of the difference of two parts that are drawn independently.
+
+    A row may stand in several parts, for example in an overall one. The difference is the part ``a-b``.
+    """
+    keys, (a, b) = list(keys), contrast
+    src = rows.where(F.col(value).isNotNull())
+    sums = stored(replicate_sums(src, [*keys, part], [part, *identity], [value], replicates, seed).where("w > 0"))
     mean = F.col(f"s_{value}") / F.col("w")
-    wide = sums.groupBy(*keys, "rep").agg(
-        (F.max(F.when(F.col(group) == a, mean)) - F.max(F.when(F.col(group) == b, mean))).alias("_t")
-    )
-    ci = _interval(wide, keys, "_t")
-    point = src.groupBy(*keys).agg(
-        (F.avg(F.when(F.col(group) == a, F.col(value))) - F.avg(F.when(F.col(group) == b, F.col(value)))).alias("diff")
-    )
-    return point.join(ci, keys, "left")
+    at = lambda name, c: F.max(F.when(F.col(part) == name, c))
+    gap = sums.groupBy(*keys, "rep").agg((at(a, mean) - at(b, mean)).alias("_t")).withColumn(part, F.lit(f"{a}-{b}"))
+    ci = _interval(sums.select(*keys, part, mean.alias("_t")).unionByName(gap.select(*keys, part, "_t")), [*keys, part], "_t")
+    each = src.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("point"))
+    both = each.groupBy(*keys).agg(F.sum(F.when(F.col(part).isin(a, b), F.col("n"))).alias("n"), (at(a, F.col("point")) - at(b, F.col("point"))).alias("point"))
+    points = each.unionByName(both.withColumn(part, F.lit(f"{a}-{b}")).select(*each.columns))
+    return points.join(ci, [*keys, part], "left")
 
 
 def block_sums(
@@ -321,7 +343,7 @@ def paired_block_ci(
     t = F.sqrt(F.greatest(F.col("s__a"), zero) / den) - F.sqrt(F.greatest(F.col("s__b2"), zero) / den)
     ci = _interval(reps.where(F.col("n_blocks") >= P.MIN_BLOCKS).withColumn("_t", t), keys, "_t")
     point = src.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.sqrt(F.avg("_a")) - F.sqrt(F.avg("_b2"))).alias("delta_rms")
+        F.count(F.lit(1)).alias("n"), F.max("L").alias("L"), (F.sqrt(F.avg("_a")) - F.sqrt(F.avg("_b2"))).alias("delta_rms")
     )
     return point.join(ci, keys, "left")
 
