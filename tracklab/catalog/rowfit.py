@@ -3,13 +3,18 @@
 from pyspark.sql import functions as F
 
 from tracklab import params as P
+from tracklab.catalog.comparison import longest, paired_series, positions
+from tracklab.catalog.draws import block_ci_sql
 from tracklab.operators import rowfit, sweeps
 from tracklab.plans import views as V
 from tracklab.plans.quantiles import quantile_columns
 from tracklab.plans.registry import d6, d9, r6, r9, query
 from tracklab.plans.segments import SEGMENT_ROWS
 from tracklab.plans.views import add_view
+from tracklab.session import stored
 
+#: Replicates of an interval of the class sweep; there are thirty intervals for every arm.
+SWEEP_REPLICATES = 500
 FRAME = ["rec", "arm", "seed", "i"]
 
 
@@ -410,50 +415,82 @@ add_view(
             FROM ({pair_sql(fit_sql('v_cellpoints', K + ', cell, side', '5.0'), K + ', cell')}) GROUP BY rec, arm, cell, i)
           GROUP BY rec, arm, cell) USING (rec, arm, cell)""",
 )
+add_view(
+    "v_cellframes",
+    ("v_cellpoints",),
+    f"""SELECT rec, arm, cell, i, unnest(['offset', 'heading']) AS metric, unnest([o, h]) AS v FROM (
+          SELECT rec, arm, cell, i, count(*) FILTER (cls = 'two_row') AS two, avg("offset") AS o, avg(heading) AS h
+          FROM ({pair_sql(fit_sql('v_cellpoints', K + ', cell, side', '5.0'), K + ', cell')}) GROUP BY rec, arm, cell, i) WHERE two = 3""",
+)
+add_view(
+    "v_cellseries",
+    ("v_cellframes", "v_pos", "v_longest"),
+    "SELECT c.*, p.run, p.pos, l.L FROM v_cellframes c JOIN v_pos p USING (rec, i) JOIN v_longest l USING (rec, metric)",
+)
+add_view(
+    "v_cellci",
+    ("v_cellseries",),
+    f"""SELECT rec, arm, cell, metric, rms, ci_low, ci_high FROM (SELECT rec, arm, cell, metric, sqrt(avg(v * v)) AS rms FROM v_cellseries GROUP BY ALL)
+        LEFT JOIN ({block_ci_sql('v_cellseries', 'rec, arm, cell, metric', {'v': 'v * v'}, 'sqrt(greatest(s_v, 0) / s__l)', SWEEP_REPLICATES)}) USING (rec, arm, cell, metric)""",
+)
 CS = ("two_row_pct", "single_pct", "none_pct", "mean_base", "offset_rms", "heading_rms")
+CI = ("offset_ci_low", "offset_ci_high", "heading_ci_low", "heading_ci_high")
 
 
-@query("H1_config_sweep", f"SELECT rec, arm, cell, n_two_row_frames, {d6(*CS)} FROM v_cells", ("v_cells",))
+def _cells(spark, sf):
+    """Cells with coverage and error, and the intervals by metric."""
+    points = V.points(spark, sf)
+    per_frame = stored(sweeps.config_frames(points, ["rec", "arm"]))
+    pos, size = positions(spark, sf)
+    block = longest(stored(paired_series(spark, sf)[0])).select("rec", "metric", "L")
+    ci = sweeps.config_intervals(per_frame, pos, block, ["rec", "arm"], replicates=SWEEP_REPLICATES, size=size)
+    return sweeps.config_summary(per_frame, points, ["rec", "arm"]), stored(ci)
+
+
+@query(
+    "H1_config_sweep",
+    f"""SELECT c.rec, c.arm, c.cell, n_two_row_frames, {d6(*CS)}, {', '.join(f"round(max(ci_{b}) FILTER (metric = '{m}'), 6) AS {m}_ci_{b}" for m in ('offset', 'heading') for b in ('low', 'high'))}
+        FROM v_cells c LEFT JOIN v_cellci i ON i.rec = c.rec AND i.arm = c.arm AND i.cell = c.cell GROUP BY ALL""",
+    ("v_cells", "v_cellci"),
+)
 def config_sweep(spark, sf):
-    got = sweeps.config_sweep(V.points(spark, sf), ["rec", "arm"])
-    return got.select("rec", "arm", "cell", "n_two_row_frames", *r6(*CS))
+    cells, ci = _cells(spark, sf)
+    wide = ci.groupBy("rec", "arm", "cell").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col(f"ci_{b}"))).alias(f"{m}_ci_{b}") for m in ("offset", "heading") for b in ("low", "high")]
+    )
+    return cells.join(wide, ["rec", "arm", "cell"], "left").select("rec", "arm", "cell", "n_two_row_frames", *r6(*CS, *CI))
 
 
-FLOOR_PCT = 20.0
-BAND = "1.96e0 * {m}_rms / sqrt(2.0e0 * n_two_row_frames)"
+#: The published floor, and one that cells of these tables reach.
+FLOORS = (P.VIABLE_COVERAGE_PCT, 20.0)
 
 
 @query(
     "H2_select_config",
-    " UNION ALL ".join(
-        f"""SELECT rec, arm, '{m}' AS metric, round(mx, 6) AS max_two_row_pct, n_viable, cell AS argmin, round(rms, 6) AS argmin_rms,
-              CAST(CASE WHEN cell IS NOT NULL THEN coalesce(lo <= bhi AND blo <= hi, false) END AS DOUBLE) AS overlaps_baseline,
-              CASE WHEN cell IS NULL THEN NULL WHEN coalesce(lo <= bhi AND blo <= hi, false) THEN 'agnostic' ELSE cell END AS locked
-            FROM (SELECT rec, arm, max(two_row_pct) AS mx, count(*) FILTER (ok) AS n_viable,
-                arg_min(cell, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS cell, arg_min(rms, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS rms,
-                arg_min(rms - w, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS lo, arg_min(rms + w, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS hi,
-                any_value(rms - w) FILTER (cell = 'agnostic') AS blo, any_value(rms + w) FILTER (cell = 'agnostic') AS bhi
-              FROM (SELECT *, {m}_rms AS rms, {BAND.format(m=m)} AS w, two_row_pct >= {FLOOR_PCT} AS ok,
-                  list_position([{CELLS}], cell) AS no FROM v_cells WHERE cell NOT LIKE '%only')
-              GROUP BY rec, arm)"""
-        for m in ("offset", "heading")
-    ),
-    ("v_cells",),
+    f"""SELECT *, bool_or(locked <> 'agnostic') OVER (PARTITION BY rec, arm, floor_pct) AS pause FROM (
+          SELECT rec, arm, metric, floor_pct, round(mx, 6) AS max_two_row_pct, n_viable, cell AS argmin, round(rms, 6) AS argmin_rms,
+            CASE WHEN cell IS NOT NULL THEN coalesce(lo <= bhi AND blo <= hi, false) END AS overlaps_baseline,
+            CASE WHEN cell IS NULL THEN NULL WHEN coalesce(lo <= bhi AND blo <= hi, false) THEN 'agnostic' ELSE cell END AS locked,
+            CASE WHEN cell IS NOT NULL THEN n_open = 0 AND coalesce(flat, false) END AS flat
+          FROM (SELECT rec, arm, metric, floor_pct, max(two_row_pct) AS mx, count(*) FILTER (ok) AS n_viable,
+              arg_min(cell, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS cell, arg_min(rms, (rms, no)) FILTER (ok AND rms IS NOT NULL) AS rms,
+              arg_min(struct_pack(x := ci_low), (rms, no)) FILTER (ok AND rms IS NOT NULL).x AS lo, arg_min(struct_pack(x := ci_high), (rms, no)) FILTER (ok AND rms IS NOT NULL).x AS hi,
+              any_value(ci_low) FILTER (cell = 'agnostic') AS blo, any_value(ci_high) FILTER (cell = 'agnostic') AS bhi,
+              max(ci_low) FILTER (ok) <= min(ci_high) FILTER (ok) AS flat, count(*) FILTER (ok AND ci_low IS NULL) AS n_open
+            FROM (SELECT c.rec, c.arm, c.cell, c.two_row_pct, m.metric, f.floor_pct, i.rms, i.ci_low, i.ci_high, c.two_row_pct >= f.floor_pct AS ok,
+                list_position([{CELLS}], c.cell) AS no
+              FROM v_cells c CROSS JOIN (VALUES ('offset'), ('heading')) m(metric) CROSS JOIN (VALUES ({FLOORS[0]}::DOUBLE), ({FLOORS[1]}::DOUBLE)) f(floor_pct)
+              LEFT JOIN v_cellci i ON i.rec = c.rec AND i.arm = c.arm AND i.cell = c.cell AND i.metric = m.metric WHERE c.cell NOT LIKE '%only')
+            GROUP BY rec, arm, metric, floor_pct))""",
+    ("v_cells", "v_cellci"),
 )
 def select_config(spark, sf):
-    cells = sweeps.config_sweep(V.points(spark, sf), ["rec", "arm"])
-    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_rms").alias("rms")) for m in ("offset", "heading")]))
-    cells = cells.withColumn("_m", long).select("rec", "arm", "cell", "two_row_pct", "n_two_row_frames", "_m.*")
-    w = F.try_divide(1.96 * F.col("rms"), F.sqrt(2.0 * F.col("n_two_row_frames")))
-    cells = cells.withColumns({"ci_low": F.col("rms") - w, "ci_high": F.col("rms") + w})
-    got = sweeps.select_config(cells, ["rec", "arm", "metric"], FLOOR_PCT)
-    return got.withColumns(
-        {
-            "overlaps_baseline": F.col("overlaps_baseline").cast("double"),
-            "argmin_rms": F.round("argmin_rms", 6),
-            "max_two_row_pct": F.round("max_two_row_pct", 6),
-        }
-    )
+    cells, ci = _cells(spark, sf)
+    grid = cells.select("rec", "arm", "cell", "two_row_pct", F.explode(F.array(F.lit("offset"), F.lit("heading"))).alias("metric"))
+    grid = stored(grid.join(ci.drop("n"), ["rec", "arm", "cell", "metric"], "left"))
+    by_floor = [sweeps.select_config(grid, ["rec", "arm", "metric"], f).withColumn("floor_pct", F.lit(f)) for f in FLOORS]
+    got = sweeps.with_pause(by_floor[0].unionByName(by_floor[1]), ["rec", "arm", "floor_pct"])
+    return got.withColumns({"argmin_rms": F.round("argmin_rms", 6), "max_two_row_pct": F.round("max_two_row_pct", 6)})
 
 
 # --- near-window sweep ------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklab import params as P
 from tracklab.operators.metrics import rms
-from tracklab.operators.resampling import overlaps
+from tracklab.operators.resampling import block_ci, overlaps
 from tracklab.operators.sidefit import POLE, TRUNK, Cell, cell_frames, cell_means
 
 SWEEP_CELLS = ("agnostic",) + tuple(f"{k}_T{t}" for k in ("trunk", "pole") for t in P.CLASS_THRESHOLDS)
@@ -69,10 +69,25 @@ def config_sweep(points: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SE
     return config_summary(config_frames(points, keys, cells), points, keys, n_seeds, cells)
 
 
+def config_intervals(per_frame: DataFrame, places: DataFrame, lengths: DataFrame, keys: Sequence[str], n_seeds: int = len(P.SEEDS), **options) -> DataFrame:
+    """(*keys, cell, metric, n, rms, ci_low, ci_high) over frames that every seed fits.
+
+    ``places`` gives run and position of a frame by the first key, ``lengths`` the block length by that key and metric. The
+    draw of a block depends on its run and last frame alone, so all cells are drawn alike and their overlaps compare like draws.
+    """
+    keys = list(keys)
+    stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("v")) for m, c in (("offset", "o"), ("heading", "h"))])).alias("_m")
+    full = per_frame.where(F.col("two") == n_seeds).select(*keys, "cell", "i", stacked).select(*keys, "cell", "i", "_m.*")
+    series = full.join(places, [keys[0], "i"]).join(lengths, [keys[0], "metric"])
+    got = block_ci(series, [*keys, "cell", "metric"], "rms", **options)
+    return got.select(*keys, "cell", "metric", "n", F.col("point").alias("rms"), "ci_low", "ci_high")
+
+
 def select_config(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.VIABLE_COVERAGE_PCT) -> DataFrame:
     """Lowest error among cells reaching the coverage floor; an overlap with the baseline locks the baseline.
 
-    ``cells`` has ``cell``, ``two_row_pct``, ``rms``, ``ci_low``, ``ci_high``.  Without a viable cell the row says so.
+    ``cells`` has ``cell``, ``two_row_pct``, ``rms``, ``ci_low``, ``ci_high``.  Without a viable cell the row says so. ``flat``: the
+    intervals of all viable cells overlap one another.
     """
     sweep = cells.where(F.col("cell").isin(*SWEEP_CELLS))
     viable = F.col("two_row_pct") >= floor_pct
@@ -85,6 +100,8 @@ def select_config(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.VI
             F.when(viable & F.col("rms").isNotNull(), F.struct("rms", cell_number(F.col("cell")))),
         ).alias("_best"),
         F.max(F.when(F.col("cell") == "agnostic", band)).alias("_base"),
+        (F.max(F.when(viable, F.col("ci_low"))) <= F.min(F.when(viable, F.col("ci_high")))).alias("_flat"),
+        F.count_if(viable & F.col("ci_low").isNull()).alias("_open"),
     )
     hit = overlaps(F.col("_best.ci_low"), F.col("_best.ci_high"), F.col("_base.ci_low"), F.col("_base.ci_high"))
     some = F.col("_best").isNotNull()
@@ -96,9 +113,16 @@ def select_config(cells: DataFrame, keys: Sequence[str], floor_pct: float = P.VI
         F.col("_best.rms").alias("argmin_rms"),
         F.when(some, hit).alias("overlaps_baseline"),
         F.when(some, F.when(hit, "agnostic").otherwise(F.col("_best.cell"))).alias("locked"),
+        F.when(some, F.coalesce(F.col("_flat") & (F.col("_open") == 0), F.lit(False))).alias("flat"),
     )
 
 
+def with_pause(selected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whether any metric of a group locks another cell than the baseline, which pauses what follows; null without a viable cell."""
+    other = selected.groupBy(*keys).agg(F.max(F.col("locked") != "agnostic").alias("pause"))
+    return selected.join(other, list(keys))
+
+
 def window_frames(points: DataFrame, frame: Sequence[str], grid: Sequence[float] = P.WINDOW_GRID_M) -> DataFrame:
     """Scores of every frame under every near window."""
     got = cell_frames(points, frame, [Cell(str(float(g)), near=float(g)) for g in grid])
