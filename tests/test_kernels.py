@@ -130,3 +130,22 @@ def test_limiter_side_by_side():
         want = np.concatenate([commands._follow(y, x[a : a + n], reach[a : a + n]) for a, n, y in zip(starts, length, entry)])
         assert np.array_equal(commands.follow(x, reach, starts, entry), want)
     assert commands.follow(np.zeros(0), np.zeros(0), np.zeros(0, int), np.zeros(0)).size == 0
+
+
+def test_nearest_line_with_far_and_lost_points(spark):
+    from tracklab.operators import reference
+
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.uniform(-40, 40, (300, 2)), rng.uniform(-40, 40, (50, 2)) + 7e6, [[1e9, -1e9], [1e9, 1e9 + 0.5], [1e17, 3.0]]])
+    pts = [(i, float(x), float(y), 1.0, 0.2) for i, (x, y) in enumerate(xy)]
+    lost = [(900, float("nan"), 1.0, 1.0, 0.0), (901, None, 1.0, 1.0, 0.0), (902, float("inf"), 0.0, 1.0, 0.0), (903, 0.0, float("-inf"), 1.0, 0.0)]
+    lines = [(k, 2.45 * k - 20, -30.0, 2.45 * k - 20 + (k % 3 - 1) / 2, 50.0) for k in range(16)] + [(50, 0.0, 0.0, 1.0, 1.0), (51, 5.0, 5.0, 5.0, 5.0)]
+    want = {}
+    for i, x, y, *_ in pts:
+        for k, ax, ay, bx, by in lines:
+            n = np.hypot(bx - ax, by - ay)
+            off = abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / n if n else np.inf
+            if off <= 1.6 and (i not in want or (off, k) < want[i]):
+                want[i] = (off, k)
+    got = reference.nearest_line(spark.createDataFrame(pts + lost, "i INT, px DOUBLE, py DOUBLE, hx DOUBLE, hy DOUBLE"), spark.createDataFrame(lines, "line_id INT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE"))
+    assert {r.i: r.line_id for r in got.collect()} == {i: k for i, (_, k) in want.items()} and 351 in want

@@ -11,43 +11,47 @@ from tracklab import params as P
 from tracklab.functions.geometry import enu_to_view, signed_perp, wrap_fold
 from tracklab.operators.metrics import rms
 from tracklab.operators.paired import sign_of
+from tracklab.session import stored
 
 
-def _cells(lines: DataFrame, box, cell: float) -> DataFrame:
-    """Grid cells a line, prolonged across the bounding box, comes within one cell of."""
-    lo_x, hi_x, lo_y, hi_y = box
+#: (bits of a level's cells over the finest, bits from there to the cells above); the top has four cells, one per quadrant.
+LEVELS = ((32, 30), (16, 16), (8, 8), (4, 4), (0, 4))
+LINE = ["line_id", "ax", "ay", "bx", "by"]
+
+
+def _cells(spots: DataFrame, lines: DataFrame, cell: float, reach: float) -> DataFrame:
+    """Occupied cells that a line, prolonged, passes within ``reach``: found from coarse cells down.
+
+    Only cells that hold points exist on any level, so the work follows the data, not the extent of its coordinates; a cell is
+    looked into only by lines that pass its parent.
+    """
+    quadrant = F.sequence(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    long = lines.where("ax <> bx or ay <> by")
+    near = long.select(*LINE, F.explode(quadrant).alias("_ux")).select("*", F.explode(quadrant).alias("_uy"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    n = F.hypot(dx, dy)
-    span = float(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5) + 2 * cell
-    mid_x, mid_y = (lo_x + hi_x) / 2, (lo_y + hi_y) / 2
-    foot = ((mid_x - F.col("ax")) * dx + (mid_y - F.col("ay")) * dy) / n
-    steps = int(span / (cell / 2)) + 1
-    at = foot - span / 2 + F.col("_k") * (cell / 2)
-    s = lines.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    s = s.withColumns({"_x": F.col("ax") + at * dx / n, "_y": F.col("ay") + at * dy / n})
-    s = s.where(
-        F.col("_x").between(lo_x - 2 * cell, hi_x + 2 * cell) & F.col("_y").between(lo_y - 2 * cell, hi_y + 2 * cell)
-    )
-    ring = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    s = s.withColumn("_r", F.explode(ring))
-    cx, cy = F.floor(F.col("_x") / cell) + F.col("_r.a"), F.floor(F.col("_y") / cell) + F.col("_r.b")
-    return s.select("line_id", "ax", "ay", "bx", "by", cx.alias("_cx"), cy.alias("_cy")).distinct()
+    for bits, up in LEVELS:
+        held = spots.select(F.shiftright("_cx", bits).alias("_cx"), F.shiftright("_cy", bits).alias("_cy")).distinct() if bits else spots
+        below = held.withColumns({"_ux": F.shiftright("_cx", up), "_uy": F.shiftright("_cy", up)})
+        size = cell * 2.0**bits
+        x, y = (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size
+        off = F.abs((x - F.col("ax")) * dy - (y - F.col("ay")) * dx) / F.hypot(dx, dy)
+        slack = 0.70711 * size + 1e-9 * (F.abs(x) + F.abs(y))
+        near = near.join(below, ["_ux", "_uy"]).where(off <= reach + slack).select(*LINE, F.col("_cx").alias("_ux"), F.col("_cy").alias("_uy"))
+    return near.withColumnsRenamed({"_ux": "_cx", "_uy": "_cy"})
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, reach: float = P.LINE_REACH_M) -> DataFrame:
     """Nearest line by absolute signed offset within ``reach``; ties go to the lower line id.
 
-    Lines are spread over grid cells and points look up their own cell: an equi-join instead of all pairs.
-    ``points`` need a unique ``i`` with ``px, py`` and travel ``hx, hy``; the offset changes sign when
-    travelling along the stored direction of the line.
+    Points look up the lines of their own grid cell: an equi-join instead of all pairs. ``points`` need a unique ``i`` with
+    ``px, py`` and travel ``hx, hy``; the offset changes sign when travelling along the stored direction of the line. A point
+    without a finite position, and a line without length, match nothing.
     """
     cell = 2 * reach
-    b = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    if b[0] is None:
-        b = (0.0, 0.0, 0.0, 0.0)
-    cells = _cells(lines, tuple(b), cell)
-    p = points.withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
-    m = p.join(cells, ["_cx", "_cy"])
+    known = (F.abs("px") < 1e18) & (F.abs("py") < 1e18) & ~F.isnan("px") & ~F.isnan("py")
+    p = points.where(known).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    spots = stored(p.select("_cx", "_cy").distinct())
+    m = p.join(_cells(spots, lines, cell, reach), ["_cx", "_cy"])
     m = m.withColumn("_s", signed_perp(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]))
     m = m.where(F.abs("_s.off") <= reach)
     along = F.col("hx") * (F.col("bx") - F.col("ax")) + F.col("hy") * (F.col("by") - F.col("ay")) > 0
