@@ -291,17 +291,19 @@ def flag_in_intervals(spark, sf):
     return got.select("rec", "i", F.col("inside").cast("int"))
 
 
+#: A box so much taller than wide stands for a detection of the target class, 2.
+UPRIGHT = 16.5
 add_view(
     "v_screen",
     ("v_px",),
-    """SELECT rec, i, count(*) AS n_hits, max(conf) AS max_conf, max(frac) AS max_fraction, max(frac) < 0.001 AS likely_distant
-       FROM v_px WHERE (l_orderkey + l_linenumber) % 41 = 0 AND conf >= 0.2e0 GROUP BY rec, i""",
+    f"""SELECT rec, i, count(*) AS n_hits, max(conf) AS max_conf, max(frac) AS max_fraction, max(frac) < 0.001 AS likely_distant
+       FROM v_px WHERE y2 - y1 > {UPRIGHT} * (x2 - x1) AND conf >= 0.2e0 GROUP BY rec, i""",
 )
 
 
 def _screen(spark, sf):
-    """All boxes are screened; a fixed share of them stands for detections of the target class, 2."""
-    target = (F.col("l_orderkey") + F.col("l_linenumber")) % 41 == 0
+    """All boxes are screened."""
+    target = F.col("y2") - F.col("y1") > UPRIGHT * (F.col("x2") - F.col("x1"))
     return intervals.screen(V.boxes(spark, sf).withColumn("cls", F.when(target, 2).otherwise(F.col("cls"))), ["rec", "i"], 2)
 
 
