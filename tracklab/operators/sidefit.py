@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklab import params as P
+from tracklab.plans.segments import spread
 
 TRUNK, POLE = 0, 1
 CLASSES = ("none", "single_row", "two_row")
@@ -172,7 +173,7 @@ def packed(points: DataFrame, frame: Sequence[str], seed: str | None = None) ->
     point = [F.col("o").alias("o"), (F.col("side") == "L").alias("left"), F.col("X").cast("double").alias("x"), F.col("Y").cast("double").alias("y"), F.bround(F.col("X").cast("double"), 1).alias("x_bin"), kind.alias("kind")]
     point += [(F.col(seed) if seed else F.lit(0)).cast("long").alias("seed")]
     rows = points.where("side is not null and X is not null and Y is not null").select(*frame, F.struct(*point).alias("p"))
-    return rows.groupBy(*frame).agg(F.array_sort(F.collect_list("p")).alias("points")).withColumn("points", F.transform("points", lambda p: p.dropFields("o")))
+    return spread(rows, *frame).groupBy(*frame).agg(F.array_sort(F.collect_list("p")).alias("points")).withColumn("points", F.transform("points", lambda p: p.dropFields("o")))
 
 
 def _unpack(column: pa.ListArray) -> tuple[np.ndarray, Sides]:

@@ -36,6 +36,11 @@ def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return stored(ranged.withColumn(SEG, F.spark_partition_id().cast("bigint")))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows to as many tasks as a shuffle has, for Python steps whose work is large beside their bytes: adaptive execution would merge them by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def segment_of(idx: str, size: int = SEGMENT_ROWS) -> Column:
     return F.floor(F.col(idx) / F.lit(size)).cast("bigint")
 
@@ -192,4 +197,4 @@ def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Ca
 
     The sort is Spark's (it spills), so ``fn`` holds one running state rather than a group.
     """
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
