@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tests.llm.odd_tables import no_docs, odd_docs  # noqa: F401
-from tests.llm.test_exact import plain_components, plain_fingerprint, plain_hits, plain_mix, plain_words
+from tests.llm.test_exact import plain_hits, plain_mix, plain_words
+from tests.llm.test_near_copies import plain_groups
 from tracklab.llm import common, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -61,7 +62,7 @@ def test_stages_against_brute_force(spark):
     left = {r.doc_id: r for r in every if own.score((r.text or "").encode()) < 0.3}
     stage = common.written(P.STAGES[0][1](spark, docs, SF), "t0")
     assert stage.columns == columns and {r.doc_id for r in stage.collect()} == left.keys()
-    groups = plain_components({k: plain_fingerprint(r.text) for k, r in left.items()})
+    groups = plain_groups({k: r.text for k, r in left.items()})
     left = {k: r for k, r in left.items() if groups[k] == k}
     stage = common.written(P.STAGES[1][1](spark, stage, SF), "t1")
     assert stage.columns == columns and sorted(r.doc_id for r in stage.collect()) == sorted(left)
