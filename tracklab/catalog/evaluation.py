@@ -461,8 +461,8 @@ def retired_ids(spark, sf):
 )
 def stale_status(spark, sf):
     now = stored(_status(spark, sf)[0])
-    stored = now.select("conv_id", "section", F.lit("CURRENT").alias("state"))
-    return integrity.stale_status(now, stored, ["conv_id", "section"])
+    noted = now.select("conv_id", "section", F.lit("CURRENT").alias("state"))
+    return integrity.stale_status(now, noted, ["conv_id", "section"])
 
 
 # --- sources ----------------------------------------------------------------------------------
