@@ -14,3 +14,23 @@ def test_stale_status_runs(spark, sf):
     now = entry.queries()["K4_resolve_status"](spark, sf).where("state <> 'CURRENT'")
     stale = entry.queries()["K4_stale_status"](spark, sf)
     assert rows(stale.select("conv_id", "section", "state")) == rows(now.select("conv_id", "section", "state"))
+
+
+def test_samples_on_the_edge_of_the_view(spark):
+    # The robot looks along or across the line, so that samples fall on the sides of the window, or all of them lie on one.
+    spots = [(1, 4.0, 0.0, 0.0, 1.0), (2, 4.0, 0.5, 0.0, 0.2), (3, 3.0, 8.0, 1.0, 0.0), (4, -1.0, 7.0, 0.2, 0.0), (5, 1.7, 20.0, 0.1, 0.3), (6, 4.0 + 1e-12, 3.0, 0.0, 0.4)]
+    df = spark.createDataFrame(spots, "i INT, px DOUBLE, py DOUBLE, hx DOUBLE, hy DOUBLE")
+    df = df.withColumns({"ax": F.lit(0.0), "ay": F.lit(0.0), "bx": F.lit(0.0), "by": F.lit(50.0)})
+    got = reference.line_in_view(df, 1.0, 8.0).orderBy("i").collect()
+    for r in got:
+        h = math.radians(math.degrees(math.atan2(r.hx, r.hy)))
+
+        def count(first, step, n):
+            hits = 0
+            for k in range(n):
+                t = first + k * step
+                x, y = r.ax + t * (r.bx - r.ax) - r.px, r.ay + t * (r.by - r.ay) - r.py
+                hits += 1.0 <= -(x * math.sin(h) + y * math.cos(h)) <= 8.0 and abs(x * math.cos(h) - y * math.sin(h)) < 4.0
+            return hits
+
+        assert (r.n_segment, r.n_extended) == (count(0.0, 1.0 / 199, 200), count(-1.5, 4.0 / 399, 400)), r

@@ -134,15 +134,22 @@ def within_budget(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _samples_inside(lo: Column, hi: Column, first: float, step: float, n: int) -> Column:
-    """How many of ``n`` evenly spaced parameters fall into [lo, hi]."""
-    a = F.greatest(F.ceil((lo - first) / step), F.lit(0))
-    b = F.least(F.floor((hi - first) / step), F.lit(n - 1))
-    return F.greatest(b - a + 1, F.lit(0))
+def _samples_inside(lo: Column, hi: Column, unsure: Column, first: float, step: float, n: int, seen) -> Column:
+    """How many of ``n`` evenly spaced parameters fall into [lo, hi], by ``seen`` at its ends.
+
+    The samples next to an end are looked at themselves, since rounding decides there; where it may decide along the whole
+    line (``unsure``), all are.
+    """
+    a, b = (F.least(F.greatest((end - first) / step, F.lit(-2.0)), F.lit(n + 1.0)) for end in (lo, hi))
+    a, b = F.ceil(a), F.floor(b)
+    near = F.array_distinct(F.array(*[end + k for end in (a, b) for k in (-1, 0, 1)]))
+    asked = F.when(unsure, F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).otherwise(F.filter(near, lambda k: (k >= 0) & (k < n)))
+    inner = F.greatest(F.least(b - 2, F.lit(n - 1)) - F.greatest(a + 2, F.lit(0)) + 1, F.lit(0))
+    return F.size(F.filter(asked, lambda k: seen(F.lit(first) + k * F.lit(step)))) + F.when(unsure, 0).otherwise(inner)
 
 
 def line_in_view(rows: DataFrame, x_low: float, x_high: float, half_width: float = 4.0) -> DataFrame:
-    """Sample points of each row's line inside the camera's ground window.
+    """Sample points of each row's line inside the camera's ground window; points on its sides are outside.
 
     Position along the line is linear in its parameter, so the visible stretch is an interval and the
     samples in it are counted rather than generated.
@@ -150,26 +157,33 @@ def line_in_view(rows: DataFrame, x_low: float, x_high: float, half_width: float
     bearing = F.degrees(F.atan2("hx", "hy"))
     a = enu_to_view(F.col("ax"), F.col("ay"), F.col("px"), F.col("py"), bearing)
     b = enu_to_view(F.col("bx"), F.col("by"), F.col("px"), F.col("py"), bearing)
-    r = rows.withColumns({"_a": a, "_b": b})
+    h = F.radians(bearing)
+    r = rows.withColumns({"_a": a, "_b": b, "_sin": F.sin(h), "_cos": F.cos(h)})
+    r = r.withColumns({"_dx": F.col("_b.X") - F.col("_a.X"), "_dy": F.col("_b.Y") - F.col("_a.Y")})
+    size = sum((F.abs(c) for c in ("ax", "ay", "bx", "by", "px", "py")), F.lit(1.0))
 
-    def span(start: Column, end: Column, lo: float, hi: float):
-        d = end - start
+    def span(start: Column, d: Column, lo: float, hi: float):
         t0, t1 = (lo - start) / d, (hi - start) / d
-        flat = d == 0
-        inside = (start >= lo) & (start <= hi)
-        low = F.when(flat, F.when(inside, F.lit(-1e18)).otherwise(F.lit(1e18))).otherwise(F.least(t0, t1))
-        high = F.when(flat, F.when(inside, F.lit(1e18)).otherwise(F.lit(-1e18))).otherwise(F.greatest(t0, t1))
-        return low, high
-
-    l1, h1 = span(F.col("_a.X"), F.col("_b.X"), x_low, x_high)
-    l2, h2 = span(F.col("_a.Y"), F.col("_b.Y"), -half_width, half_width)
+        return F.least(t0, t1), F.greatest(t0, t1)
+
+    def seen(t: Column) -> Column:
+        x = F.col("ax") + t * (F.col("bx") - F.col("ax")) - F.col("px")
+        y = F.col("ay") + t * (F.col("by") - F.col("ay")) - F.col("py")
+        ahead, aside = -(x * F.col("_sin") + y * F.col("_cos")), x * F.col("_cos") - y * F.col("_sin")
+        return (ahead >= x_low) & (ahead <= x_high) & (F.abs(aside) < half_width)
+
+    r = r.withColumn("_unsure", F.least(F.abs("_dx"), F.abs("_dy")) <= 1e-9 * size)
+    sure = lambda d: F.when(~F.col("_unsure"), F.col(d))
+    l1, h1 = span(F.col("_a.X"), sure("_dx"), x_low, x_high)
+    l2, h2 = span(F.col("_a.Y"), sure("_dy"), -half_width, half_width)
     r = r.withColumns({"_lo": F.greatest(l1, l2), "_hi": F.least(h1, h2)})
+    ends = F.col("_lo"), F.col("_hi"), F.col("_unsure")
     return r.withColumns(
         {
-            "n_segment": _samples_inside(F.col("_lo"), F.col("_hi"), 0.0, 1.0 / 199, 200).cast("bigint"),
-            "n_extended": _samples_inside(F.col("_lo"), F.col("_hi"), -1.5, 4.0 / 399, 400).cast("bigint"),
+            "n_segment": _samples_inside(*ends, 0.0, 1.0 / 199, 200, seen).cast("bigint"),
+            "n_extended": _samples_inside(*ends, -1.5, 4.0 / 399, 400, seen).cast("bigint"),
         }
-    ).drop("_a", "_b", "_lo", "_hi")
+    ).drop("_a", "_b", "_sin", "_cos", "_dx", "_dy", "_unsure", "_lo", "_hi")
 
 
 def view_shares(rows: DataFrame, more_than: int = 3) -> DataFrame:
