@@ -34,3 +34,9 @@ def test_samples_on_the_edge_of_the_view(spark):
             return hits
 
         assert (r.n_segment, r.n_extended) == (count(0.0, 1.0 / 199, 200), count(-1.5, 4.0 / 399, 400)), r
+
+
+def test_percentile_among_equal_values_is_that_value(spark):
+    for n in (10, 45, 48):
+        df = spark.range(n).select(F.lit(1).alias("k"), F.lit(0.3).alias("v"))
+        assert exact_quantiles(df, ["k"], "v", [0.01]).first().q == 0.3

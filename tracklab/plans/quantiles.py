@@ -48,7 +48,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     low, high = F.floor("pos"), F.ceil("pos")
     holds = lambda rank: (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_m"))
     frac = F.col("pos") - low
-    part = F.when(holds(low), (1 - frac) * F.col("_v")).otherwise(0.0) + F.when(holds(high), frac * F.col("_v")).otherwise(0.0)
+    # Between equal values nothing is interpolated: the two shares of a value need not add up to it.
+    share = F.when(holds(low) & holds(high), 1.0).when(holds(low), 1 - frac).otherwise(frac)
+    part = share * F.col("_v")
     return merged.where(holds(low) | holds(high)).groupBy(*keys, "p").agg(F.sum(part).alias("q"))
 
 
