@@ -48,3 +48,15 @@ def test_representative_has_the_rows_of_the_split(spark, tmp_path):
     got = entry.queries()["I2_representative"](spark, str(tmp_path))
     want = entry.queries()["I3_stratified_split"](spark, str(tmp_path))
     assert rows(got.select("doc_id")) == rows(want.select("doc_id"))
+
+
+def test_totals_count_a_group_once(spark):
+    s = _split_of_crossing_groups(spark)
+    total = samples.split_tallies(s, "g", "s").where("split = 'ALL' and s = 'ALL'").first()
+    assert (total.n_rows, total.n_groups) == (s.count(), 10)
+
+
+def test_audit_lists_strata_of_which_nothing_is_wanted(spark):
+    s = _split_of_crossing_groups(spark)
+    got = samples.audit_counts(s, s.where("is_representative"), ["split", "s"])
+    assert rows(got.select("split", "s")) == rows(s.select("split", "s").distinct())

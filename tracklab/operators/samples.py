@@ -53,9 +53,9 @@ def leakage(rows: DataFrame, group: str) -> DataFrame:
 
 
 def split_tallies(rows: DataFrame, group: str, stratum: str) -> DataFrame:
-    """Rows and groups by split and stratum, with totals."""
+    """Rows and groups by split and stratum, with totals; a group in several strata counts once in a total."""
     per = rows.groupBy("split", stratum, group).agg(F.count(F.lit(1)).alias("_n"))
-    c = per.cube("split", stratum).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
+    c = per.cube("split", stratum).agg(F.sum("_n").alias("n_rows"), F.count_distinct(group).alias("n_groups"))
     return c.withColumns({k: F.coalesce(k, F.lit("ALL")) for k in ("split", stratum)})
 
 
@@ -66,7 +66,8 @@ def consume_split(rows: DataFrame) -> DataFrame:
 
 def audit_counts(rows: DataFrame, used: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows expected from the split table against rows actually consumed."""
-    want = consume_split(rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("expected"))
+    kept = (F.col("split") == "train") | F.col("is_representative")
+    want = rows.groupBy(*keys).agg(F.count_if(kept).alias("expected"))
     got = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("actual"))
     out = want.join(got, list(keys), "full").na.fill(0, ["expected", "actual"])
     return out.withColumn("ok", F.col("expected") == F.col("actual"))
