@@ -86,3 +86,18 @@ def test_whole_table(spark):
     want = plain_groups({r.doc_id: r.text for r in docs.collect()})
     got = {r.doc_id for r in near_copies.keep_one(docs).collect()}
     assert got == set(want.values()) and not got & {145, 177}
+
+
+def test_chains_that_no_centre_shows(spark, monkeypatch):
+    # Without samples and cover the prefixes alone must find every link, also those of a chain whose ends are unlike.
+    none = spark.createDataFrame([], "cls long, centre long")
+    monkeypatch.setattr(near_copies, "candidates", lambda classes: none)
+    rng = random.Random(8)
+    passage = " ".join(f"licence{k}" for k in range(40))
+    texts = {}
+    for base in range(8):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 30, 90, 200]))]
+        for copy in range(15):
+            texts[base * 20 + copy] = " ".join(words) + " " + passage
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    assert kept(spark, texts) == sorted(set(plain_groups(texts).values()))

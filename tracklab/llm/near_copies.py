@@ -10,7 +10,10 @@ no cover by anchors separates copies from other texts. So candidates come from t
 Texts of equal words (A-Z in lower case, any ASCII white space between) are one class, known by its 64-bit hash, before
 anything is joined. A group of candidates is compared with two centres, its smallest and largest class, never pair by pair;
 within a sample, those who also agree on half of the next one have centres of their own. A link counts if the exact similarity of the
-two shingle sets reaches the limit, and components of the links are the groups.
+two shingle sets reaches the limit. Links that no centre shows are found by prefixes: two sets of a similarity of 0.8 or more
+share one of the first fifth of their shingles in any common order, here from rare to frequent. Shingles that only classes
+of one group share are left out, the other pairs are checked exactly, so that no link between two groups is lost. Components
+of all links are the result.
 
 A centre with many candidates is copied to tasks of MEMBERS candidates each, and tasks hold one centre's shingles at a time.
 
@@ -40,6 +43,9 @@ ROWS = 4
 TILE = 1024
 #: Candidates compared with one copy of their centre.
 MEMBERS = 500
+#: Texts, about, that show which shingles are frequent, and shingles kept. They set the order of the prefixes only: any order is exact.
+SHOWN = 10_000
+FREQUENT = 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +151,86 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return written(placed.mapInArrow(run, "a long, b long"), "alike")
 
 
+def frequent_shingles(marked: DataFrame, cls, text) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, rank): the shingles found most often in a bounded sample of the texts, from rare to frequent by rank from 1."""
+    every = max(1, marked.count() // SHOWN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.column(0).cast(pa.binary()):
+                own = np.unique(simhash.shingle_hashes(item.as_py(), SHINGLE))
+                for k in range(0, own.size, 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[k : k + (1 << 14)].view(np.int64))], names=["token"])
+
+    shown = marked.where(F.pmod(F.xxhash64(cls), F.lit(every)) == 0).select(text.alias("text"))
+    counts = shown.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    tokens = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.arange(len(found), 0, -1)[order]
+
+
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a set, from rare to frequent, one of which every set of a similarity of ``least`` or more must share."""
+    tokens, ranks = frequent
+    rank = np.zeros(hashes.size, np.int64)
+    if tokens.size:
+        at = np.minimum(np.searchsorted(tokens, hashes), tokens.size - 1)
+        rank = np.where(tokens[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: hashes.size - int(np.ceil(least * hashes.size - 1e-9)) + 1]
+
+
+def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
+    """(token, cls, at, n): places ``at`` of prefix shingles that several rows have, and the number of shingles of the class."""
+    frequent = frequent_shingles(marked, cls, text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for one, item in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                if one in seen:
+                    continue
+                seen = seen if len(seen) < 100_000 else set()
+                seen.add(one)
+                own = np.unique(simhash.shingle_hashes(item.as_py(), SHINGLE))
+                if own.size:
+                    first = prefix(own, frequent, least)
+                    columns = [first.view(np.int64), np.full(first.size, one), np.arange(first.size, dtype=np.int32), np.full(first.size, own.size, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "at", "n"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows beside a row of the same token; the last row of a batch waits for the next one."""
+        held, before = None, None
+        for batch in batches:
+            table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            token = table.column("token").to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.concatenate([[before is not None and before == token[0]], same]) | np.concatenate([same, [False]])
+            yield from table.slice(0, table.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+            held = table.slice(table.num_rows - 1).to_batches()[0]
+            before = token[-2] if token.size > 1 else before
+        if held is not None and before is not None and before == held.column("token")[0].as_py():
+            yield held
+
+    schema = "token long, cls long, at int, n int"
+    placed = marked.select(cls.alias("cls"), text.alias("text")).mapInArrow(cut, schema)
+    return written(placed.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, schema), "prefixes")
+
+
+def crossing(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(cls, centre): every pair of classes of different groups that may have a similarity of ``least`` or more."""
+    rooted = prefixes.join(roots, prefixes["cls"] == roots["node"], "left").select("token", "cls", "at", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = written(rooted.distinct(), "rooted")
+    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = written(rooted.join(several, "token", "left_semi"), "crossing")
+    other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "at", "n", "root")])
+    sizes = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
+    both = rows.join(other, "token").where((F.col("cls") > F.col("cls2")) & (F.col("root") != F.col("root2")) & sizes)
+    return written(both.select("cls", F.col("cls2").alias("centre")).distinct(), "crossing-pairs")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of ``docs``."""
     mark, row = free_name(docs, "_mark"), free_name(docs, "_row")
@@ -153,11 +239,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(row).alias("row"))).alias("first")
     columns = [first, F.min(m["fp"]).alias("fp"), F.min(m["n"]).alias("n"), *[F.min(m["keys"][k]).alias(f"key{k}") for k in range(2 * BANDS)]]
     classes = written(marked.groupBy(m["cls"].alias("cls")).agg(*columns), "classes")
-    pairs = candidates(classes.where("n > 0"))
-    shown = pairs.select("cls").unionByName(pairs.select(F.col("centre").alias("cls"))).distinct()
-    wanted = classes.join(shown, "cls", "left_semi").select("cls", F.col("first.row").alias("row"))
-    texts = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").select("cls", "text")
-    roots = simhash.components(alike(pairs, texts, least))
+    sized = classes.where("n > 0")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        shown = pairs.select("cls").unionByName(pairs.select(F.col("centre").alias("cls"))).distinct()
+        wanted = classes.join(shown, "cls", "left_semi").select("cls", F.col("first.row").alias("row"))
+        texts = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").select("cls", "text")
+        return alike(pairs, texts, least)
+
+    shown = linked(candidates(sized))
+    prefixes = shared_prefixes(marked.where(m["n"] > 0), m["cls"], F.col(text_col), least)
+    roots = simhash.components(shown.unionByName(linked(crossing(prefixes, written(simhash.components(shown), "groups"), least))))
     grouped = classes.join(roots, classes["cls"] == roots["node"], "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first.row").alias(row))
     return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
