@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
+
 from conftest import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tracklab.operators import reference, samples
+from tracklab.operators import reference, resampling, samples
 from tracklab.plans.quantiles import exact_quantiles
 
 
@@ -60,3 +62,24 @@ def test_audit_lists_strata_of_which_nothing_is_wanted(spark):
     s = _split_of_crossing_groups(spark)
     got = samples.audit_counts(s, s.where("is_representative"), ["split", "s"])
     assert rows(got.select("split", "s")) == rows(s.select("split", "s").distinct())
+
+
+def test_draws_equal_their_plain_law():
+    p = resampling.PRIME
+    a, b, reps = [0, p - 1, 1, 123456789, p - 2], [1, p - 1, p - 2, 987654321, 2], [1, 2, 499, 2000]
+    for rate in (0.03, 1.0, 5.5, 70.0):
+        parts, cuts = resampling.poisson_plan(rate)
+        cells = resampling.weight_cells(cuts)
+        got = resampling.poisson_draws(np.array(a), np.array(b), np.array(reps), (parts, cuts), cells)
+        for n, (x0, y0) in enumerate(zip(a, b)):
+            for m, rep in enumerate(reps):
+                weight = 0
+                for part in range(parts):
+                    first = (x0 + 48271 * part) % p
+                    x = (first + rep * y0) % p
+                    for key in (first, y0):
+                        x = (pow(x, 5, p) + key) % p
+                    weight += sum(x / p > c for c in cuts)
+                assert got[n, m] == weight
+        # The few cells without a weight hold a threshold each, so nearly all draws are looked up.
+        assert (cells < 0).sum() <= cuts.size

@@ -21,7 +21,10 @@ from tracklab import params as P
 from tracklab.plans.segments import SEGMENT_ROWS, dense_index, fills
 from tracklab.session import stored
 
-CHUNK = 256
+#: Draws made at once; their arrays stay in a core's cache.
+DRAWS = 1 << 15
+#: Bits of a draw that look up its weight.
+CELL_BITS = 12
 #: Accumulators that a task holds before it sends them on; equal keys meet again after the shuffle.
 HELD_BYTES = 64 << 20
 
@@ -143,34 +146,65 @@ def poisson_plan(rate: float) -> tuple[int, np.ndarray]:
 PRIME = (1 << 31) - 1
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    """Remainder by ``PRIME`` of numbers below 2^62."""
-    x = (x & PRIME) + (x >> 31)
-    x -= PRIME * (x >= PRIME)
-    return x
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """In place: a number of equal remainder by ``PRIME``, below 2^33 + 2^31 for any x and below 2^31 + 5 if folded twice."""
+    np.right_shift(x, 31, out=spare)
+    x &= np.uint64(PRIME)
+    x += spare
+
 
+def _least(x: np.ndarray, spare: np.ndarray) -> None:
+    """In place: the remainder of numbers below 2 ``PRIME``; smaller ones wrap around and stay."""
+    np.subtract(x, np.uint64(PRIME), out=spare)
+    np.minimum(x, spare, out=x)
 
-def _uniform(a: np.ndarray, b: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """Uniform draws per (row, replicate): the row's line a + rep b, mixed by two fifth powers, which permute the residues."""
-    x = _mod(a[:, None] + reps[None, :] * b[:, None])
+
+def _residues(a: np.ndarray, b: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Draws below ``PRIME`` per (row, replicate): the row's line a + rep b, mixed by two fifth powers, which permute the residues."""
+    a, b, reps = a.astype(np.uint64), b.astype(np.uint64), reps.astype(np.uint64)
+    x = reps[None, :] * b[:, None]
+    x += a[:, None]
+    y, spare = np.empty_like(x), np.empty_like(x)
+    _fold(x, spare)
+    _fold(x, spare)
+    _least(x, spare)
     for key in (a, b):
-        y = _mod(x * x)
-        x = _mod(_mod(_mod(y * y) * x) + key[:, None])
-    return x / PRIME
+        np.multiply(x, x, out=y)
+        _fold(y, spare)
+        np.multiply(y, y, out=y)
+        _fold(y, spare)
+        _fold(y, spare)
+        x *= y
+        _fold(x, spare)
+        x += key[:, None]
+        _fold(x, spare)
+        _least(x, spare)
+    return x
 
 
-def poisson_draws(a: np.ndarray, b: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray]) -> np.ndarray:
-    """Poisson weights per (row, replicate) from the row's two words; every part has a stream of its own."""
+def weight_cells(cuts: np.ndarray) -> np.ndarray:
+    """Weight of all draws that share their first bits, -1 where a threshold lies among them."""
+    low = np.arange(1 << CELL_BITS, dtype=np.int64) << (31 - CELL_BITS)
+    high = np.minimum(low + (1 << (31 - CELL_BITS)) - 1, PRIME - 1)
+    first, last = (np.searchsorted(cuts, x / PRIME) for x in (low, high))
+    return np.where(first == last, first, -1).astype(np.float64)
+
+
+def poisson_draws(a: np.ndarray, b: np.ndarray, reps: np.ndarray, plan: tuple[int, np.ndarray], cells: np.ndarray | None = None) -> np.ndarray:
+    """Poisson weights per (row, replicate) from the row's two words: how many thresholds its uniform draw passes.
+
+    Every part has a stream of its own. ``cells`` are the plan's ``weight_cells``.
+    """
     parts, cuts = plan
-    w = np.zeros((a.size, reps.size))
+    cells = weight_cells(cuts) if cells is None else cells
+    total = None
     for part in range(parts):
-        u = _uniform(_mod(a + 48271 * part), b, reps)
-        for c in cuts:
-            hit = u > c
-            if not hit.any():
-                break
-            w += hit
-    return w
+        x = _residues((a + 48271 * part) % PRIME, b, reps)
+        w = cells[(x >> np.uint64(31 - CELL_BITS)).view(np.int64)]
+        open_ = np.nonzero(w < 0)
+        w[open_] = np.searchsorted(cuts, x[open_] / PRIME)
+        total = w if total is None else total + w
+    return total
 
 
 def draw_words(seed: int, identity: Sequence[str]) -> list[Column]:
@@ -204,19 +238,21 @@ def replicate_sums(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple, np.ndarray] = {}
-        plans: dict[float, tuple[int, np.ndarray]] = {}
+        plans: dict[float, tuple[tuple[int, np.ndarray], np.ndarray]] = {}
+        step = max(1, DRAWS // replicates)
         for pdf in batches:
             for k, g in pdf.groupby(keys, sort=False, dropna=False):
                 k = k if isinstance(k, tuple) else (k,)
                 rt = float(g["_rate"].iloc[0])
                 if rt not in plans:
-                    plans[rt] = poisson_plan(rt)
+                    plan = poisson_plan(rt)
+                    plans[rt] = plan, weight_cells(plan[1])
                 one, two = g["_word1"].to_numpy(), g["_word2"].to_numpy()
                 vals = np.column_stack([np.ones(len(g))] + [g[v].to_numpy() for v in values])
                 tot = acc.setdefault(k, np.zeros((replicates, len(values) + 1)))
-                for a in range(0, len(g), CHUNK):
-                    w = poisson_draws(one[a : a + CHUNK], two[a : a + CHUNK], reps, plans[rt])
-                    tot += w.T @ vals[a : a + CHUNK]
+                for a in range(0, len(g), step):
+                    w = poisson_draws(one[a : a + step], two[a : a + step], reps, *plans[rt])
+                    tot += w.T @ vals[a : a + step]
             if len(acc) * replicates * (len(values) + 1) * 8 > HELD_BYTES:
                 yield from flush(acc)
                 acc.clear()
