@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.odd_tables import no_docs, odd_docs  # noqa: F401
 from tracklab.llm import common, near_copies
 
@@ -101,3 +103,26 @@ def test_chains_that_no_centre_shows(spark, monkeypatch):
             texts[base * 20 + copy] = " ".join(words) + " " + passage
             words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
     assert kept(spark, texts) == sorted(set(plain_groups(texts).values()))
+
+
+def test_pairs_that_share_too_little_are_not_compared(spark):
+    # Every two texts share a fifth of their words, single shingles of which meet in the prefixes; two are copies.
+    rng = random.Random(9)
+    texts = {k: " ".join([f"shared{k // 2}_{n}" for n in range(25)] + [f"own{rng.randrange(10**9)}" for _ in range(100)]) for k in range(60)}
+    texts[60] = texts[0] + " more"
+    rows = [(k + 1, t, len(plain_shingles(t))) for k, t in texts.items()]
+    marked = spark.createDataFrame(rows, "cls long, text string, n long")
+    prefixes = near_copies.shared_prefixes(marked, F.col("cls"), F.col("text"), 0.8)
+    alone = spark.createDataFrame([], "node long, root long")
+    got = [tuple(r) for r in near_copies.crossing(prefixes, alone, 0.8).collect()]
+    assert got == [(61, 1)]
+    assert near_copies.crossing(near_copies.shared_prefixes(marked.unionByName(marked), F.col("cls"), F.col("text"), 0.8), alone, 0.8).count() == 1
+
+
+def test_chosen_rows_are_not_shuffled(spark):
+    rows = spark.range(0, 200_000, 1, 3).select((F.col("id") * 7).alias("row"), F.lit("x").alias("text"))
+    picked = spark.range(0, 200_000, 11).select((F.col("id") * 7).alias("row"))
+    got = near_copies.chosen(rows, "row", picked)
+    assert got.columns == ["row", "text"]
+    assert sorted(r.row for r in got.select("row").collect()) == [7 * k for k in range(0, 200_000, 11)]
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()

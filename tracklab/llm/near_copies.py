@@ -11,9 +11,12 @@ Texts of equal words (A-Z in lower case, any ASCII white space between) are one
 anything is joined. A group of candidates is compared with two centres, its smallest and largest class, never pair by pair;
 within a sample, those who also agree on half of the next one have centres of their own. A link counts if the exact similarity of the
 two shingle sets reaches the limit. Links that no centre shows are found by prefixes: two sets of a similarity of 0.8 or more
-share one of the first fifth of their shingles in any common order, here from rare to frequent. Shingles that only classes
-of one group share are left out, the other pairs are checked exactly, so that no link between two groups is lost. Components
-of all links are the result.
+share many of the first fifth of their shingles in any common order, here from rare to frequent. Shingles that only classes
+of one group share are left out; pairs that share enough of the others are checked exactly, so that no link between two groups
+is lost. Components of all links are the result.
+
+Only texts that are compared are shuffled: the others are left out by a bitmap of one bit a row, the part of it for 32,768
+rows being one row of a small table.
 
 A centre with many candidates is copied to tasks of MEMBERS candidates each, and tasks hold one centre's shingles at a time.
 
@@ -199,13 +202,15 @@ def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "at", "n"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows beside a row of the same token; the last row of a batch waits for the next one."""
+        """Each class once for a token that several have; the last row of a batch waits for the next one."""
         held, before = None, None
         for batch in batches:
             table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
             if not table.num_rows:
                 continue
-            token = table.column("token").to_numpy()
+            token, one = table.column("token").to_numpy(), table.column("cls").to_numpy()
+            again = np.concatenate([[False], (token[1:] == token[:-1]) & (one[1:] == one[:-1])])
+            table, token = table.filter(pa.array(~again)).combine_chunks(), token[~again]
             same = token[1:] == token[:-1]
             keep = np.concatenate([[before is not None and before == token[0]], same]) | np.concatenate([same, [False]])
             yield from table.slice(0, table.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
@@ -216,19 +221,40 @@ def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
 
     schema = "token long, cls long, at int, n int"
     placed = marked.select(cls.alias("cls"), text.alias("text")).mapInArrow(cut, schema)
-    return written(placed.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, schema), "prefixes")
+    return written(placed.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(repeated, schema), "prefixes")
 
 
 def crossing(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(cls, centre): every pair of classes of different groups that may have a similarity of ``least`` or more."""
+    """(cls, centre): every pair of classes of different groups that may have a similarity of ``least`` or more.
+
+    In the common order two sets share nothing before their first shared shingle, and what lies behind one of the two prefixes
+    is the most that they share beside the shingles of both; with these they must come to the overlap of similar sets.
+    """
     rooted = prefixes.join(roots, prefixes["cls"] == roots["node"], "left").select("token", "cls", "at", "n", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted.distinct(), "rooted")
+    rooted = written(rooted, "rooted")
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rows = written(rooted.join(several, "token", "left_semi"), "crossing")
     other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "at", "n", "root")])
-    sizes = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
+    sizes = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
     both = rows.join(other, "token").where((F.col("cls") > F.col("cls2")) & (F.col("root") != F.col("root2")) & sizes)
-    return written(both.select("cls", F.col("cls2").alias("centre")).distinct(), "crossing-pairs")
+    ahead = F.max(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))).alias("ahead")
+    pairs = both.groupBy("cls", "cls2").agg(F.min("n").alias("n"), F.min("n2").alias("n2"), F.count("*").alias("shared"), ahead)
+    overlap = least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
+    behind = F.ceil(least * F.greatest("n", "n2") - 1e-9) - 1
+    return written(pairs.where((F.col("ahead") >= overlap) & (F.col("shared") + behind >= overlap)).select("cls", F.col("cls2").alias("centre")), "crossing-pairs")
+
+
+def chosen(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number ``row`` is among those of ``wanted`` (one column of that name), without a shuffle of ``rows``.
+
+    A bitmap of 32,768 numbers is one row of a table that goes to all tasks: a bit for each of the rows, 4 KB at least a file.
+    """
+    number, at = F.bitmap_bucket_number(F.col(row)), F.bitmap_bit_position(F.col(row))
+    place, bits = free_name(rows, "_place"), free_name(rows, "_bits")
+    found = written(wanted.groupBy(number.alias(place)).agg(F.bitmap_construct_agg(at).alias(bits)), "bits")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn(place, number).join(F.broadcast(found), place)
+    return placed.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop(place, bits)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -243,8 +269,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def linked(pairs: DataFrame) -> DataFrame:
         shown = pairs.select("cls").unionByName(pairs.select(F.col("centre").alias("cls"))).distinct()
-        wanted = classes.join(shown, "cls", "left_semi").select("cls", F.col("first.row").alias("row"))
-        texts = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").select("cls", "text")
+        wanted = classes.join(shown, "cls", "left_semi").select(F.col("first.row").alias(row))
+        texts = chosen(marked.select(m["cls"].alias("cls"), F.col(text_col).alias("text"), row), row, wanted).select("cls", "text")
         return alike(pairs, texts, least)
 
     shown = linked(candidates(sized))
