@@ -8,7 +8,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tracklab.operators import reference, resampling, samples
+from tracklab.catalog import commands as catalog_commands
+from tracklab.operators import commands, reference, resampling, samples
 from tracklab.plans.quantiles import exact_quantiles
 
 
@@ -83,3 +84,25 @@ def test_draws_equal_their_plain_law():
                 assert got[n, m] == weight
         # The few cells without a weight hold a threshold each, so nearly all draws are looked up.
         assert (cells < 0).sum() <= cuts.size
+
+
+def test_exit_maps_of_caught_up_stretches_are_cheap_and_exact():
+    rng = np.random.default_rng(3)
+    for n, pace in ((3, 0.01), (50, 0.05), (4000, 0.02), (4000, 1e-6)):
+        x, d = rng.uniform(-1, 1, n), rng.uniform(0, pace, n)
+        xs, ys = commands._exit_map(x, d, 1.0)
+        for y in (-1.0, -0.3, 0.0, 0.7, 1.0):
+            want = commands._follow(y, x, d)[-1]
+            got = commands._respond(y, xs, ys)
+            assert abs(got - want) <= 1e-12 and (ys[0] != ys[-1] or got == want)
+    assert len(commands._exit_map(*(rng.uniform(0.5, 1, 4000) for _ in range(2)), 1.0)[0]) == 2
+
+
+def test_held_rows_bring_the_time_since_the_previous_row(spark, sf):
+    s = entry.queries()  # registers the views
+    assert "J4_hold_last" in s
+    streams, gains, _ = catalog_commands._streams(spark, sf)
+    held = commands.hold_last(commands.command(streams, gains, size=4), 4)
+    want = commands.with_dt(held.drop("dt"), 4)
+    names = [*commands.STREAM, "e", "dt"]
+    assert rows(held.select(*names)) == rows(want.select(*names)) and held.count() > 0

@@ -128,14 +128,15 @@ def fills(
     idx: str | None = "i",
     size: int = SEGMENT_ROWS,
     inclusive: bool = True,
+    prior: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Unbounded per-key columns along ``order``.
 
     ``sums``: inclusive prefix sums.  ``before``/``after``: latest/earliest non-null value at or before/
-    after each row (strictly so unless ``inclusive``).  ``size`` is the extent of the dense ``idx`` per segment; with ``idx``
+    after each row (strictly so unless ``inclusive``).  ``prior``: like ``before``, but always strictly so.  ``size`` is the extent of the dense ``idx`` per segment; with ``idx``
     ``None`` the series is cut by range.
     """
-    sums, before, after = sums or {}, before or {}, after or {}
+    sums, before, after, prior = sums or {}, before or {}, after or {}, prior or {}
     near = 0 if inclusive else 1
     part = [*keys, SEG]
     w = Window.partitionBy(*part).orderBy(*order)
@@ -146,7 +147,9 @@ def fills(
         **{k: F.coalesce(F.sum(v).over(upto), F.lit(0)) for k, v in sums.items()},
         **{k: F.last(v, ignorenulls=True).over(back) for k, v in before.items()},
         **{k: F.first(v, ignorenulls=True).over(ahead) for k, v in after.items()},
+        **{k: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k, v in prior.items()},
     }
+    before = before | prior
     s = by_range(df, keys, order) if idx is None else stored(with_segment(df, idx, size))
     rank = F.struct(*[F.col(c) for c in order])
     edges = s.groupBy(*keys, SEG).agg(
