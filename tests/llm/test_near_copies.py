@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.odd_tables import no_docs, odd_docs  # noqa: F401
@@ -126,3 +127,55 @@ def test_chosen_rows_are_not_shuffled(spark):
     assert got.columns == ["row", "text"]
     assert sorted(r.row for r in got.select("row").collect()) == [7 * k for k in range(0, 200_000, 11)]
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_work_on_one_large_group_of_loose_copies(spark):
+    # Copies of one text, each with some words of its own: few pairs of different groups can be links, and no pairs are listed.
+    rng = random.Random(12)
+    base = [f"c{k}" for k in range(150)]
+    texts = {}
+    for k in range(500):
+        words = list(base)
+        for _ in range(rng.choice([1, 3, 6, 9, 12])):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**9)}"
+        texts[k] = " ".join(words)
+    want = plain_groups(texts)
+    assert kept(spark, texts) == sorted(set(want.values()))
+    marked = spark.createDataFrame([(k, t, len(plain_shingles(t))) for k, t in texts.items()], "cls long, text string, n long")
+    prefixes = near_copies.shared_prefixes(marked, F.col("cls"), F.col("text"), 0.8)
+    alone = spark.createDataFrame([], "node long, root long")
+    links = [tuple(r) for r in near_copies.crossing(prefixes, alone, 0.8).collect()]
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    alike = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    # A task returns at most one link a class (the session has 8 partitions of a shuffle).
+    assert 0 < len(links) < 500 * 8 < alike
+
+
+def test_tiles_that_bound_a_set(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MEET", 5)
+    monkeypatch.setattr(near_copies, "EXACT", 4)
+    rng = random.Random(13)
+    texts = {}
+    for base in range(3):
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for copy in range(30):
+            texts[base * 30 + copy] = " ".join(words)
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    none = spark.createDataFrame([], "cls long, centre long")
+    monkeypatch.setattr(near_copies, "candidates", lambda classes: none)
+    assert kept(spark, texts) == sorted(set(plain_groups(texts).values()))
+
+
+def test_parity_bits_never_differ_in_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 9000, np.int64).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 300, 600, 1500, 3000, 9000, 9000)]
+    sets.append(np.unique(np.concatenate([sets[5][:2900], pool[:50]])))
+    tables, n = near_copies.folded([near_copies.parity(x) for x in sets]), np.array([x.size for x in sets])
+    for least in (0.3, 0.8, 0.95):
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                shared = np.intersect1d(sets[i], sets[j]).size
+                if shared >= least * (n[i] + n[j] - shared):
+                    assert near_copies.possible(tables, n, np.array([i]), np.array([j]), least)[0]
+    assert not near_copies.possible(tables, n, np.array([6]), np.array([7]), 0.9)[0]

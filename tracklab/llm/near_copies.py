@@ -8,12 +8,13 @@ no cover by anchors separates copies from other texts. So candidates come from t
   same sample with probability similarity ** ROWS, so a pair of similarity 0.8 shares one of 12 samples in 99.8 % of cases.
 
 Texts of equal words (A-Z in lower case, any ASCII white space between) are one class, known by its 64-bit hash, before
-anything is joined. A group of candidates is compared with two centres, its smallest and largest class, never pair by pair;
-within a sample, those who also agree on half of the next one have centres of their own. A link counts if the exact similarity of the
-two shingle sets reaches the limit. Links that no centre shows are found by prefixes: two sets of a similarity of 0.8 or more
-share many of the first fifth of their shingles in any common order, here from rare to frequent. Shingles that only classes
-of one group share are left out; pairs that share enough of the others are checked exactly, so that no link between two groups
-is lost. Components of all links are the result.
+anything is joined. A group of candidates is compared with one centre, the class that meets most others in all its samples, never
+pair by pair; within a sample, those who also agree on half of the next one have a centre of their own. A link counts if the exact
+similarity of the two shingle sets reaches the limit. Links that no centre shows are found by prefixes: two sets of a similarity of
+0.8 or more share one of the first fifth of their shingles in any common order, here from rare to frequent. Shingles that only
+classes of one group share are left out. Classes that share another one meet in tiles of bounded size, where sizes, places and parity
+bits rule out nearly all pairs; a task returns no pairs but links that connect those left. What these connect is compared exactly,
+again in tiles that return at most one link a class, so that no link between two groups is lost. Components of all links are the result.
 
 Only texts that are compared are shuffled: the others are left out by a bitmap of one bit a row, the part of it for 32,768
 rows being one row of a small table.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,14 @@ ROWS = 4
 TILE = 1024
 #: Candidates compared with one copy of their centre.
 MEMBERS = 500
+#: Classes of one shingle on each side of a tile, and pairs that are looked at together.
+MEET = 512
+PAIRS = 1 << 17
+#: Classes, and shingles of all of them, on each side of a tile that compares exactly.
+EXACT = 1024
+EXACT_SHINGLES = 1 << 20
+#: Connected classes that a task remembers.
+HELD = 500_000
 #: Texts, about, that show which shingles are frequent, and shingles kept. They set the order of the prefixes only: any order is exact.
 SHOWN = 10_000
 FREQUENT = 50_000
@@ -111,14 +121,15 @@ def with_marks(docs: DataFrame, name: str, text_col: str) -> DataFrame:
 def candidates(classes: DataFrame) -> DataFrame:
     """(cls, centre): classes to be compared with the centres of a group they belong to, each pair once."""
 
-    def ends(members: DataFrame, keys: list[str], label: str) -> DataFrame:
-        found = members.groupBy(*keys).agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-        return members.join(written(found, label), keys).select("cls", F.explode(F.array("low", "high")).alias("centre"))
-
-    keys = classes.select("cls", F.posexplode(F.array(*[f"key{k}" for k in range(2 * BANDS)])).alias("slot", "key"))
+    slots = classes.select("cls", F.posexplode(F.array(*[f"key{k}" for k in range(2 * BANDS)])).alias("slot", "key"))
     roots = simhash.components(simhash.links(classes.select("fp").distinct(), tile=TILE))
-    whole = written(classes.join(roots, classes["fp"] == roots["node"], "left").select("cls", F.coalesce("root", "fp").alias("root")), "whole")
-    found = ends(keys, ["slot", "key"], "centres").unionByName(ends(whole, ["root"], "heads")).where("cls <> centre")
+    whole = classes.join(roots, classes["fp"] == roots["node"], "left").select("cls", F.lit(-1).alias("slot"), F.coalesce("root", "fp").alias("key"))
+    keys, group = written(slots.unionByName(whole), "keys"), ["slot", "key"]
+    met = written(keys.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"), "met")
+    shared = written(keys.join(met, group), "shared")
+    score = shared.groupBy("cls").agg(F.sum("n").alias("score"))
+    centres = written(shared.join(score, "cls").groupBy(*group).agg(F.max(F.struct("score", "cls"))["cls"].alias("centre")), "centres")
+    found = shared.join(centres, group).where("cls <> centre")
     return written(found.select(F.greatest("cls", "centre").alias("cls"), F.least("cls", "centre").alias("centre")).distinct(), "candidates")
 
 
@@ -154,6 +165,104 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return written(placed.mapInArrow(run, "a long, b long"), "alike")
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Bit k tells whether an odd number of the hashes end in k. Two such bitmaps differ in no more bits than the sets in elements.
+
+    Their length is the largest power of two up to the size of the set, 512 at least and 32,768 at most.
+    """
+    size = 1 << min(max(hashes.size.bit_length() - 1, 9), 15)
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, place, table) for every length: the bitmaps of that length or more, folded to it, and the row's place among them."""
+    words = np.array([len(b) // 8 for b in bits], np.int64)
+    out, level = [], 8
+    while words.size and level <= words.max():
+        able = np.flatnonzero(words >= level)
+        place, table = np.full(words.size, -1), np.empty((able.size, level), np.uint64)
+        place[able] = np.arange(able.size)
+        for w in np.unique(words[able]):
+            own = np.flatnonzero(words[able] == w)
+            whole = np.frombuffer(b"".join(bits[k] for k in able[own]), np.uint64).reshape(own.size, w // level, level)
+            table[own] = np.bitwise_xor.reduce(whole, axis=1)
+        out.append((level, place, table))
+        level *= 2
+    return out
+
+
+def pairs_within(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows of one group, about ``PAIRS`` at a time; ``ends`` is where the group of a row ends."""
+    count = ends - np.arange(ends.size) - 1
+    until = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < ends.size:
+        hi = max(lo + 1, int(np.searchsorted(until, until[lo] + PAIRS, "right")) - 1)
+        c = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        yield i, np.arange(i.size) - np.repeat(until[lo:hi] - until[lo], c) + i + 1
+        lo = hi
+
+
+def possible(tables: list[tuple[int, np.ndarray, np.ndarray]], n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows can have a similarity of ``least`` or more, by sizes and parity bits."""
+    ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+    most = (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-9
+    for level, place, table in tables:
+        at = np.flatnonzero(ok & (place[i] >= 0) & (place[j] >= 0))
+        step = (1 << 20) // level
+        for k in range(0, at.size, step):
+            part = at[k : k + step]
+            ok[part] = np.bitwise_count(table[place[i[part]]] ^ table[place[j[part]]]).sum(axis=1, dtype=np.int64) <= most[part]
+    return ok
+
+
+class Forest:
+    """Which nodes are connected so far."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, node: int) -> int:
+        above = self.above
+        while (up := above.get(node, node)) != node:
+            above[node] = node = above.get(up, up)
+        return node
+
+    def join(self, a: int, b: int) -> bool:
+        """Connect two nodes; false if they were connected."""
+        a, b = self.find(a), self.find(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def in_tiles(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, one, two, part, cls, *columns), tile by tile: a tile has two of the ``parts`` of a group, every row goes to all tiles of its own part."""
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    every = rows.withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    keys = [group, "one", "two"]
+    tiled = every.withColumns({"one": F.least("part", "_other"), "two": F.greatest("part", "_other")}).select(*keys, "part", "cls", *columns)
+    return tiled.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole tiles, where the tile of each row ends); the first ``keys`` columns name a tile."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
+        if not table.num_rows:
+            continue
+        key = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(keys)])
+        cuts = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
+        last = int(cuts[-1]) if cuts.size else 0
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last), np.repeat(cuts, np.diff(cuts, prepend=0))
+    if held is not None and held.num_rows:
+        yield held, np.full(held.num_rows, held.num_rows)
+
+
 def frequent_shingles(marked: DataFrame, cls, text) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, rank): the shingles found most often in a bounded sample of the texts, from rare to frequent by rank from 1."""
     every = max(1, marked.count() // SHOWN)
@@ -184,7 +293,10 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: f
 
 
 def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
-    """(token, cls, at, n): places ``at`` of prefix shingles that several rows have, and the number of shingles of the class."""
+    """(token, cls, at, n, bits): places ``at`` of prefix shingles that several rows have, and the number of shingles of the class.
+
+    One row more for each class has no place (-1) and its parity bits.
+    """
     frequent = frequent_shingles(marked, cls, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +310,22 @@ def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
                 own = np.unique(simhash.shingle_hashes(item.as_py(), SHINGLE))
                 if own.size:
                     first = prefix(own, frequent, least)
-                    columns = [first.view(np.int64), np.full(first.size, one), np.arange(first.size, dtype=np.int32), np.full(first.size, own.size, np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "at", "n"])
+                    # The row of the bits goes where its class does, so that these rows are spread too.
+                    tokens = np.concatenate([[one], first.view(np.int64)])
+                    columns = [tokens, np.full(tokens.size, one), np.arange(-1, first.size, dtype=np.int32), np.full(tokens.size, own.size, np.int32)]
+                    bits = pa.concat_arrays([pa.array([parity(own)], pa.binary()), pa.nulls(first.size, pa.binary())])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], bits], names=["token", "cls", "at", "n", "bits"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each class once for a token that several have; the last row of a batch waits for the next one."""
-        held, before = None, None
+        """Each class once for a token that several have, and for its bits; the last row of a batch waits for the next one."""
+        held, before, known = None, None, None
         for batch in batches:
+            lone = batch.filter(pc.less(batch.column(2), 0))
+            if lone.num_rows:
+                one = lone.column(1).to_numpy()
+                yield lone.filter(pa.array(np.concatenate([[one[0] != known], one[1:] != one[:-1]])))
+                known = one[-1]
+                batch = batch.filter(pc.greater_equal(batch.column(2), 0))
             table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
             if not table.num_rows:
                 continue
@@ -219,29 +340,73 @@ def shared_prefixes(marked: DataFrame, cls, text, least: float) -> DataFrame:
         if held is not None and before is not None and before == held.column("token")[0].as_py():
             yield held
 
-    schema = "token long, cls long, at int, n int"
+    schema = "token long, cls long, at int, n int, bits binary"
     placed = marked.select(cls.alias("cls"), text.alias("text")).mapInArrow(cut, schema)
     return written(placed.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(repeated, schema), "prefixes")
 
 
 def crossing(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(cls, centre): every pair of classes of different groups that may have a similarity of ``least`` or more.
+    """(cls, centre): links that connect the classes of all pairs of different groups that may have a similarity of ``least`` or more.
 
-    In the common order two sets share nothing before their first shared shingle, and what lies behind one of the two prefixes
-    is the most that they share beside the shingles of both; with these they must come to the overlap of similar sets.
+    Not every such pair is a link. At the first shingle that two similar sets share in the common order, what is left of both
+    is as much as they share at least.
     """
-    rooted = prefixes.join(roots, prefixes["cls"] == roots["node"], "left").select("token", "cls", "at", "n", F.coalesce("root", "cls").alias("root"))
+    places = prefixes.where("at >= 0").drop("bits")
+    rooted = places.join(roots, places["cls"] == roots["node"], "left").select("token", "cls", "at", "n", F.coalesce("root", "cls").alias("root"))
     rooted = written(rooted, "rooted")
-    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rows = written(rooted.join(several, "token", "left_semi"), "crossing")
-    other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "at", "n", "root")])
-    sizes = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
-    both = rows.join(other, "token").where((F.col("cls") > F.col("cls2")) & (F.col("root") != F.col("root2")) & sizes)
-    ahead = F.max(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))).alias("ahead")
-    pairs = both.groupBy("cls", "cls2").agg(F.min("n").alias("n"), F.min("n2").alias("n2"), F.count("*").alias("shared"), ahead)
-    overlap = least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
-    behind = F.ceil(least * F.greatest("n", "n2") - 1e-9) - 1
-    return written(pairs.where((F.col("ahead") >= overlap) & (F.col("shared") + behind >= overlap)).select("cls", F.col("cls2").alias("centre")), "crossing-pairs")
+    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET).alias("parts")).where("low < high")
+    rows = rooted.join(several.select("token", "parts"), "token").join(prefixes.where("at < 0").select("cls", "bits"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for table, ends in whole_tiles(batches, 3):
+            one, two, part, cls, at, n, root = (table.column(k).to_numpy().astype(np.int64) for k in range(1, 8))
+            tables = folded(table.column(8).to_pylist())
+            for i, j in pairs_within(ends):
+                overlap = least / (1 + least) * (n[i] + n[j]) - 1e-9
+                meet = (root[i] != root[j]) & ((one[i] == two[i]) | (part[i] != part[j])) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap)
+                i, j = i[meet], j[meet]
+                ok = possible(tables, n, i, j, least)
+                pairs = zip(cls[i[ok]].tolist(), cls[j[ok]].tolist())
+                links = [(max(a, b), min(a, b)) for a, b in pairs if forest.join(a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["cls", "centre"])
+            if len(forest.above) > HELD:
+                forest = Forest()
+
+    tiles = in_tiles(rows, "token", ["at", "n", "root", "bits"])
+    return written(tiles.mapInArrow(run, "cls long, centre long").distinct(), "crossing-links")
+
+
+def alike_within(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of a similarity of ``least`` or more between classes of one set, as many as connect what such links connect.
+
+    ``members`` has (cls, whole, root, n): the set, the group that the class is known to belong to and its shingles; classes of
+    one group are not compared. ``texts`` has one row (cls, text) for each class.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / EXACT, F.sum("n") / EXACT_SHINGLES)).alias("parts")
+    crowd = written(members.groupBy("whole").agg(parts), "wholes")
+    rows = members.join(crowd, "whole").join(texts, "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_tiles(batches, 3):
+            for lo, hi in zip(np.unique(np.concatenate([[0], ends]))[:-1].tolist(), np.unique(ends).tolist()):
+                one, two, part, cls, root = (table.column(k).slice(lo, hi - lo).to_numpy().astype(np.int64) for k in range(1, 6))
+                sets = [np.unique(simhash.shingle_hashes(t.as_py(), SHINGLE)) for t in table.column(6).slice(lo, hi - lo).cast(pa.binary())]
+                n, tables, forest, links = np.array([x.size for x in sets], np.int64), folded([parity(x) for x in sets]), Forest(), []
+                for i, j in pairs_within(np.full(hi - lo, hi - lo)):
+                    meet = (root[i] != root[j]) & ((one[i] == two[i]) | (part[i] != part[j]))
+                    i, j = i[meet], j[meet]
+                    ok = possible(tables, n, i, j, least)
+                    for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+                        if forest.find(int(root[x])) == forest.find(int(root[y])):
+                            continue
+                        shared = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+                        if shared >= least * (n[x] + n[y] - shared):
+                            forest.join(int(root[x]), int(root[y]))
+                            links.append((int(cls[x]), int(cls[y])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return written(in_tiles(rows, "whole", ["root", "text"]).mapInArrow(run, "a long, b long"), "alike-within")
 
 
 def chosen(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
@@ -267,15 +432,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     classes = written(marked.groupBy(m["cls"].alias("cls")).agg(*columns), "classes")
     sized = classes.where("n > 0")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        shown = pairs.select("cls").unionByName(pairs.select(F.col("centre").alias("cls"))).distinct()
+    def texts_of(shown: DataFrame) -> DataFrame:
         wanted = classes.join(shown, "cls", "left_semi").select(F.col("first.row").alias(row))
-        texts = chosen(marked.select(m["cls"].alias("cls"), F.col(text_col).alias("text"), row), row, wanted).select("cls", "text")
-        return alike(pairs, texts, least)
+        return chosen(marked.select(m["cls"].alias("cls"), F.col(text_col).alias("text"), row), row, wanted).select("cls", "text")
 
-    shown = linked(candidates(sized))
+    pairs = candidates(sized)
+    shown = alike(pairs, texts_of(pairs.select("cls").unionByName(pairs.select(F.col("centre").alias("cls"))).distinct()), least)
+    groups = written(simhash.components(shown), "groups")
     prefixes = shared_prefixes(marked.where(m["n"] > 0), m["cls"], F.col(text_col), least)
-    roots = simhash.components(shown.unionByName(linked(crossing(prefixes, written(simhash.components(shown), "groups"), least))))
+    links = crossing(prefixes, groups, least).select(F.col("cls").alias("a"), F.col("centre").alias("b"))
+    sets = simhash.components(links)
+    sets = sets.select(F.col("node").alias("cls"), F.col("root").alias("whole")).unionByName(sets.select(F.col("root").alias("cls"), F.col("root").alias("whole")).distinct())
+    known = sets.join(groups, sets["cls"] == groups["node"], "left").select("cls", "whole", F.coalesce("root", "cls").alias("root"))
+    members = written(known.join(classes.select("cls", "n"), "cls"), "members")
+    roots = simhash.components(shown.unionByName(alike_within(members, texts_of(members.select("cls")), least)))
     grouped = classes.join(roots, classes["cls"] == roots["node"], "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first.row").alias(row))
     return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
