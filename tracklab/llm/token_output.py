@@ -11,7 +11,6 @@ next to each other; an empty table gives empty ``code`` and ``blocks``; other co
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,9 +33,8 @@ NEW_ENTRIES = 100_000
 DOCS_AT_ONCE = 512
 #: ASCII marks that the byte-level pattern always splits from a letter before them (the apostrophe is not one).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: White space that pieces cannot be cut at: two in a row, or any but blanks and line ends.
-DOUBLED = ("  ", " \n", "\n ", "\n\n")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space that pieces cannot be cut at: any but blanks and line ends.
+OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -53,7 +51,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        #: Each look-up of the model makes a new object, so its method is kept.
+        self.units = self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.unlike = (*self.special, *OTHER_SPACE)
         self.byte_letters = _byte_letters()
         self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         #: Ids of a word with the blank before it, or of a line end and the word after it; words met once wait in ``new``.
@@ -68,7 +69,7 @@ class PieceEncoder:
     def _letters(self, word: str, blank: bool) -> bytes:
         """Ids of a word of letters only, which is one unit of the vocabulary's merges."""
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_letters)
-        units = self.whole.model.tokenize(self.byte_letters[0x20] + shown if blank else shown)
+        units = self.units(self.byte_letters[0x20] + shown if blank else shown)
         return array(self.code, [u.id for u in units]).tobytes()
 
     def _piece(self, piece: str, blank: bool = True) -> bytes:
@@ -111,7 +112,7 @@ class PieceEncoder:
         """Ids as unsigned numbers of 16 bits, or 32 for a vocabulary of more than 65,536 ids."""
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in (*self.special, *DOUBLED)) or OTHER_SPACE.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in self.unlike):
             return self._plain(text)
         pieces = text.replace("\n", " \n").split(" ")
         memo = self.memo
@@ -121,6 +122,9 @@ class PieceEncoder:
         k = found.index(None)
         while k < len(pieces):
             piece = pieces[k]
+            # Two blanks or line ends in a row leave one of these, which no memo holds.
+            if piece == "" or piece == "\n":
+                return self._plain(text)
             ids = memo.get(piece)
             found[k] = self._remember(piece) if ids is None else ids
             k = found.index(None, k + 1)
