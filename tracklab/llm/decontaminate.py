@@ -185,15 +185,28 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
 
 
 def find_hits(
-    docs: DataFrame, items: DataFrame, name: str = "hits", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS
+    docs: DataFrame,
+    items: DataFrame,
+    name: str = "hits",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shard_words: int = SHARD_WORDS,
+    max_span: int | None = None,
 ) -> DataFrame:
-    """Append a struct: n_words, n_hit, longest passage, hit spans as [first, end) words, ids of items with occurring windows."""
+    """Append a struct: n_words, n_hit, longest passage, hit spans as [first, end) words, ids of items with occurring windows.
+
+    With ``max_span`` the struct also has ``cut``: the text without longer spans (null if it has none). It is made in the
+    pass of the last shard, as a pass of its own would keep a second Python worker for each core.
+    """
     shards = list(item_shards(items, item_id, item_text, shard_words)) or [[]]
     for k, shard in enumerate(shards):
         earlier = [] if k == 0 else [name]
+        cuts = max_span is not None and k + 1 == len(shards)
         sent = docs.sparkSession.sparkContext.broadcast(shard)
 
-        def work(sent=sent):
+        def work(sent=sent, cuts=cuts):
             automaton = ItemAutomaton(sent.value, window)
 
             def apply(texts: pa.Array, before: pa.StructArray | None = None) -> pa.StructArray:
@@ -206,16 +219,19 @@ def find_hits(
                         found = found | set(held[n]["items"])
                     hit = sum(b - a for a, b in spans)
                     out.append({"n_words": len(words), "n_hit": hit, "longest": longest, "spans": spans, "items": sorted(found)})
-                kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-                return pa.array(out, kind)
+                    if cuts and any(b - a > max_span for a, b in spans):
+                        out[-1]["cut"] = cut_spans(text.as_py().decode(), spans, max_span)
+                kind = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]
+                return pa.array(out, pa.struct([*kind, ("cut", pa.string())] if cuts else kind))
 
             return apply
 
+        schema = T.StructType([*HITS.fields, T.StructField("cut", T.StringType())]) if cuts else HITS
         if earlier:
             step = free_name(docs, name + "_next")
-            docs = with_struct(docs, [text_col, name], step, HITS, work).drop(name).withColumnRenamed(step, name)
+            docs = with_struct(docs, [text_col, name], step, schema, work).drop(name).withColumnRenamed(step, name)
         else:
-            docs = with_struct(docs, [text_col], name, HITS, work)
+            docs = with_struct(docs, [text_col], name, schema, work)
     return docs
 
 
@@ -239,17 +255,7 @@ def contaminated(hits: str, max_coverage: float):
 def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.05, max_span: int | None = None, text_col: str = "text", **options) -> DataFrame:
     """Documents below the coverage limit, with the columns of the input. With ``max_span``, longer hit spans are cut from the text."""
     name = free_name(docs, "hits")
-    kept = find_hits(docs, items, name, text_col, **options).where(~contaminated(name, max_coverage))
+    kept = find_hits(docs, items, name, text_col, max_span=max_span, **options).where(~contaminated(name, max_coverage))
     if max_span is not None:
-        trimmed = free_name(kept, "trimmed")
-
-        def work():
-            def apply(texts: pa.Array, hits: pa.StructArray) -> pa.StructArray:
-                made = [cut_spans(t, h["spans"], max_span) if h["spans"] else t for t, h in zip(texts.to_pylist(), hits.to_pylist())]
-                return pa.StructArray.from_arrays([pa.array(made, pa.string())], names=["text"])
-
-            return apply
-
-        kept = with_struct(kept, [text_col, name], trimmed, T.StructType([T.StructField("text", T.StringType())]), work)
-        kept = kept.withColumn(text_col, F.col(f"{trimmed}.text")).drop(trimmed)
+        kept = kept.withColumn(text_col, F.coalesce(F.col(f"{name}.cut"), F.col(text_col)))
     return kept.drop(name)

@@ -146,6 +146,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Forget the encoders of this process; a worker lives on after its last text and would keep them beside those of other steps."""
+    _encoders.clear()
+
+
 def id_type(vocabulary: str) -> np.dtype:
     return np.dtype(encoder(vocabulary).code)
 
@@ -259,6 +264,7 @@ def pack_documents(encoded: DataFrame, own: Code, kind: np.dtype) -> DataFrame:
     code, length = own.encode_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(lo, DOCS_AT_ONCE)
