@@ -26,3 +26,15 @@ def test_words_need_no_look_up_of_the_model():
     want = own._plain("alpha beta gamma")
     own.whole = None
     assert own.encode("alpha beta gamma") == want
+
+
+def test_known_words_with_marks_need_no_look_up_of_the_model():
+    own = token_output.PieceEncoder(public_tokenizers.path(VOCABULARY))
+    text = "one gamma gamma, gamma. gamma"
+    want = own._plain(text)
+    assert own.encode("one gamma") + own.encode("one gamma") == 2 * own._plain("one gamma")
+    assert "gamma" in own.memo
+    asked, units = [], own.units
+    own.units = lambda word: asked.append(word) or units(word)
+    assert own.encode(text) == want
+    assert [w for w in asked if "gamma" in w] == []

@@ -28,7 +28,7 @@ COUNT_TASKS = 64
 MAX_BITS = 16
 #: Entries of a worker's memos of encoded pieces: those met again, and those met once so far. A memo is emptied when full.
 MEMO_ENTRIES = 200_000
-NEW_ENTRIES = 100_000
+NEW_ENTRIES = 200_000
 #: Documents that are encoded between two results, so that a task never holds the ids of many long texts.
 DOCS_AT_ONCE = 512
 #: ASCII marks that the byte-level pattern always splits from a letter before them (the apostrophe is not one).
@@ -83,7 +83,7 @@ class PieceEncoder:
         elif len(core) == len(piece) or not blank:
             ids = self._letters(core, blank)
         else:
-            ids = self._remember(core)
+            ids = self.memo.get(core) or self._remember(core)
         return ids + self._tail(piece[len(core) :]) if len(core) < len(piece) else ids
 
     def _remember(self, piece: str) -> bytes:
