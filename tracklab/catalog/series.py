@@ -292,9 +292,8 @@ def flank_category(spark, sf):
 )
 def run_phase(spark, sf):
     m, size = manifest(spark, sf)
-    cats = runs.flank_category(m, ["rec"], size).select("rec", "i", "category")
-    full = m.select("rec", "i").join(cats, ["rec", "i"], "left")
-    got = runs.run_phase(full, ["rec"], F.col("category") == "turn", size)
+    marks = runs.flank_marks(m, ["rec"], size).select("rec", "i", "category")
+    got = runs.run_phase(marks, ["rec"], F.col("category") == "turn", size)
     return got.select("rec", "i", F.round("centrality", 6).alias("centrality"), "phase")
 
 

@@ -109,8 +109,12 @@ def attach_runs(df: DataFrame, runs: DataFrame, keys: Sequence[str], size: int =
     ).drop("_run")
 
 
+def _outside() -> Column:
+    return F.col("headland") & ~F.col("contaminated")
+
+
 def out_of_scope(df: DataFrame) -> DataFrame:
-    return df.where(F.col("headland") & ~F.col("contaminated"))
+    return df.where(_outside())
 
 
 def scope(df: DataFrame, name: str) -> DataFrame:
@@ -122,8 +126,8 @@ def scope(df: DataFrame, name: str) -> DataFrame:
     raise ValueError(f"unknown scope {name}")
 
 
-def flank_category(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
-    """Stationary, else turn when both neighbouring eligible rows share a corridor, else transition."""
+def flank_marks(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
+    """All rows with the ``flank_category`` of those out of scope; the others get NULL."""
     corr = F.when(F.col("eligible"), F.col("corridor"))
     out = fills(df, keys, ["i"], before={"_before": corr}, after={"_after": corr}, size=size, inclusive=False)
     cat = (
@@ -131,15 +135,17 @@ def flank_category(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS)
         .when(F.col("_before") == F.col("_after"), "turn")
         .otherwise("transition")
     )
-    return out_of_scope(out).withColumn("category", cat).drop("_before", "_after")
+    return out.withColumn("category", F.when(_outside(), cat)).drop("_before", "_after")
+
+
+def flank_category(df: DataFrame, keys: Sequence[str], size: int = SEGMENT_ROWS) -> DataFrame:
+    """Stationary, else turn when both neighbouring eligible rows share a corridor, else transition."""
+    return out_of_scope(flank_marks(df, keys, size))
 
 
 def run_phase(df: DataFrame, keys: Sequence[str], pred: Column, size: int = SEGMENT_ROWS) -> DataFrame:
     """Centrality of each ``pred`` row inside its stretch of consecutive indices, and its phase."""
-    keys = list(keys)
-    marked = islands(df, keys, pred, "_s", size=size).where(F.col("_s").isNotNull())
-    ends = marked.groupBy(*keys, "_s").agg(F.max("i").alias("_e"))
-    out = marked.join(ends, [*keys, "_s"])
+    out = islands(df, list(keys), pred, "_s", size=size, end="_e").where(F.col("_s").isNotNull())
     span = F.col("_e") - F.col("_s")
     at = F.when(span == 0, F.lit(0.5)).otherwise((F.col("i") - F.col("_s")) / span)
     out = out.withColumn("centrality", 1.0 - 2.0 * F.abs(at - 0.5))

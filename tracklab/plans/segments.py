@@ -167,11 +167,13 @@ def fills(
         *[F.last(f"_e_{k}", ignorenulls=True).over(past).alias(f"_c_{k}") for k in before],
         *[F.first(f"_e_{k}", ignorenulls=True).over(future).alias(f"_c_{k}") for k in after],
     )
-    out = s.join(carried, [*keys, SEG])
+    # Spark goes by the size of the stored file, which may be a hundredth of what its rows take in memory, and would broadcast the series itself.
+    # A merge needs no more than the windows do: the same partitions in the same order.
+    out = s.withColumns({f"_l_{k}": c for k, c in local.items()}).join(carried.hint("merge"), [*keys, SEG])
     out = out.withColumns(
-        {k: (F.col(f"_c_{k}") + c) if k in sums else F.coalesce(c, F.col(f"_c_{k}")) for k, c in local.items()}
+        {k: (F.col(f"_c_{k}") + F.col(f"_l_{k}")) if k in sums else F.coalesce(f"_l_{k}", f"_c_{k}") for k in local}
     )
-    return out.drop(SEG, *[f"_c_{k}" for k in local])
+    return out.drop(SEG, *[f"{p}_{k}" for k in local for p in ("_l", "_c")])
 
 
 def islands(
@@ -181,18 +183,27 @@ def islands(
     out: str = "run_start",
     idx: str = "i",
     size: int = SEGMENT_ROWS,
+    end: str | None = None,
 ) -> DataFrame:
-    """Label maximal stretches of consecutive rows with ``pred`` true by the index they start at.
+    """Label maximal stretches of consecutive rows with ``pred`` true by the index they start at and, as ``end``, the one they end at.
 
     Rows where ``pred`` is false get NULL.  ``idx`` must be dense within the key.
     """
-    flag = df.withColumn("_p", F.coalesce(pred, F.lit(False)))
+    p = F.col("_p")
+    beside = {"_prev": F.lag, "_next": F.lead} if end else {"_prev": F.lag}
     flag = bounded(
-        flag, keys, 1, [lambda w: {"_prev": F.coalesce(F.lag("_p").over(w), F.lit(False))}], idx, size
+        df.withColumn("_p", F.coalesce(pred, F.lit(False))),
+        keys,
+        1,
+        [lambda w: {k: F.coalesce(near("_p").over(w), F.lit(False)) for k, near in beside.items()}],
+        idx,
+        size,
     )
-    start = F.when(F.col("_p") & ~F.col("_prev"), F.col(idx))
-    got = fills(flag, keys, [idx], before={"_start": start}, idx=idx, size=size)
-    return got.withColumn(out, F.when(F.col("_p"), F.col("_start"))).drop("_p", "_prev", "_start")
+    before = {"_start": F.when(p & ~F.col("_prev"), F.col(idx))}
+    after = {"_end": F.when(p & ~F.col("_next"), F.col(idx))} if end else {}
+    got = fills(flag, keys, [idx], before=before, after=after, idx=idx, size=size)
+    labels = {out: "_start", end: "_end"} if end else {out: "_start"}
+    return got.withColumns({name: F.when(p, F.col(c)) for name, c in labels.items()}).drop("_p", *beside, *labels.values())
 
 
 def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable, schema) -> DataFrame:
