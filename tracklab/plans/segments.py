@@ -142,11 +142,12 @@ def fills(
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     back = w.rowsBetween(Window.unboundedPreceding, -near)
-    ahead = w.rowsBetween(near, Window.unboundedFollowing)
+    # Spark builds a frame that shrinks anew for every row; the same rows from the end make one that grows.
+    ahead = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -near)
     local = {
         **{k: F.coalesce(F.sum(v).over(upto), F.lit(0)) for k, v in sums.items()},
         **{k: F.last(v, ignorenulls=True).over(back) for k, v in before.items()},
-        **{k: F.first(v, ignorenulls=True).over(ahead) for k, v in after.items()},
+        **{k: F.last(v, ignorenulls=True).over(ahead) for k, v in after.items()},
         **{k: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k, v in prior.items()},
     }
     before = before | prior
@@ -157,15 +158,14 @@ def fills(
         *[F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_e_{k}") for k, v in before.items()],
         *[F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_e_{k}") for k, v in after.items()],
     )
-    segments = Window.partitionBy(*keys).orderBy(SEG)
-    past = segments.rowsBetween(Window.unboundedPreceding, -1)
-    future = segments.rowsBetween(1, Window.unboundedFollowing)
+    past = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys,
         SEG,
         *[F.coalesce(F.sum(f"_e_{k}").over(past), F.lit(0)).alias(f"_c_{k}") for k in sums],
         *[F.last(f"_e_{k}", ignorenulls=True).over(past).alias(f"_c_{k}") for k in before],
-        *[F.first(f"_e_{k}", ignorenulls=True).over(future).alias(f"_c_{k}") for k in after],
+        *[F.last(f"_e_{k}", ignorenulls=True).over(future).alias(f"_c_{k}") for k in after],
     )
     # Spark goes by the size of the stored file, which may be a hundredth of what its rows take in memory, and would broadcast the series itself.
     # A merge needs no more than the windows do: the same partitions in the same order.
